@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sentencepiece_viterbi, suffix_tree
+from . import multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree
 from .common import remainder
 
 
@@ -30,5 +30,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_suffix_tree": op2_suffix_tree, "op3_secrets": op3_secrets, "op5_sentencepiece": op5_sentencepiece}
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = rule_ensemble.learn(docs, labels.where(remainder("doc_id", 5) != 0))
+    out = rule_ensemble.classify(docs, rules, ["doc_id"])
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.with_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_tree, op3_secrets, op5_sentencepiece, op7_rule_ensemble, op8_multiset_hash)}
 ORACLES: dict[str, str] = {}

@@ -176,3 +176,38 @@ def hash_word(word: str) -> int:
 def uniform(h: np.ndarray) -> np.ndarray:
     """Doubles in (0, 1) from hashes."""
     return ((h >> _U(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
+# ---------------------------------------------------------------- small tables
+
+#: Rows of a narrow table that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, broadcast if a count of its rows allows it."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def connected(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(node, root): the least node of each node's component, for links (a, b). Labels
+    spread along links and through the labels' own labels, so few rounds are needed; every
+    round is a written table and nothing but a count reaches the driver."""
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = scratch.put(both.union(both.select("y", "x")).distinct(), f"{tag}-links")
+    label = scratch.put(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root")), f"{tag}-0")
+    step = 0
+    while True:
+        step += 1
+        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("seen"))
+        moved = label.join(near, "node").select("node", F.least("root", "seen").alias("to"), F.col("root").alias("was"))
+        jump = label.select(F.col("node").alias("to"), F.col("root").alias("further"))
+        new = moved.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("root"), "was")
+        new = scratch.put(new, f"{tag}-{step}")
+        changed = new.where("root < was").limit(1).count()
+        scratch.drop(f"{tag}-{step - 1}")
+        label = new.select("node", "root")
+        if not changed:
+            scratch.drop(f"{tag}-links")
+            return label

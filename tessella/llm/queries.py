@@ -8,14 +8,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree
-from .common import remainder
+from . import bag_minhash, multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree, warc
+from .common import Scratch, remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    index = warc.write(table(spark, sf_dir, "pages"), warc.folder_for(spark, scratch), scratch=scratch)
+    out = warc.read(index, payloads=False)
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = suffix_tree.score(docs, docs.where(remainder("doc_id", 7) != 2))
@@ -30,6 +37,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rules = rule_ensemble.learn(docs, labels.where(remainder("doc_id", 5) != 0))
@@ -41,5 +53,5 @@ def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.with_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_tree, op3_secrets, op5_sentencepiece, op7_rule_ensemble, op8_multiset_hash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_tree, op3_secrets, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash)}
 ORACLES: dict[str, str] = {}

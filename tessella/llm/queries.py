@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree, warc
+from . import bag_minhash, decontaminate, multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree, warc
 from .common import Scratch, remainder
 
 
@@ -33,6 +33,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -53,5 +57,5 @@ def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.with_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_tree, op3_secrets, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_tree, op3_secrets, op4_decontaminate, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash)}
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bag_minhash, decontaminate, multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree, warc
+from . import bag_minhash, chat_format, decontaminate, license_scan, multiset_hash, rule_ensemble, secrets, sentencepiece_viterbi, suffix_tree, warc
 from .common import Scratch, remainder
 
 
@@ -57,5 +57,22 @@ def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.with_neighbours(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_tree, op3_secrets, op4_decontaminate, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    formatted = chat_format.windows(turns.select("conv_id", "turn", "role", "text").unionByName(more))
+    return chat_format.digests(chat_format.read_back(formatted))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan.scan(docs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_suffix_tree, op3_secrets, op4_decontaminate, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash, op9_chat_format, op10_license_scan)
+}
 ORACLES: dict[str, str] = {}

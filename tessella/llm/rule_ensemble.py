@@ -26,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _SPACE, _VALUE, chunks, mix, powers, text_of, words, _BASE, _INVERSE
 
 _U = np.uint64
 _SYMBOLS = "!%$#&*|.,"
-STATISTICS = ["log_bytes", "log_words", "lines_per_word", "upper", "lower", "digit", "space", "high", *[f"symbol_{i}" for i in range(len(_SYMBOLS))], "symbol_other", "word_bytes", "repeated_words", "top_word", "repeated_triples", "repeated_lines"]
+_NAMES = ["log_bytes", "log_words", "lines_per_word", "upper", "lower", "digit", "space", "high", *[f"symbol_{i}" for i in range(len(_SYMBOLS))], "symbol_other", "word_bytes", "repeated_words", "top_word", "repeated_triples", "repeated_lines"]
+#: Column names; the prefix keeps them apart from the inputs' own.
+STATISTICS = [f"__stat_{x}" for x in _NAMES]
 
 
 def _classes() -> np.ndarray:
@@ -99,16 +102,17 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def with_statistics(df: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
     """The columns `keep` and the statistics of each row's text."""
-    source = text_of(df.select(*keep, F.col(text_column).alias("__text")), "__text")
+    inside = text_column in keep and df.schema[text_column].dataType == T.StringType()
+    source = df.select(*keep) if inside else text_of(df.select(*keep, F.col(text_column).alias("__text")), "__text")
+    at, n = keep.index(text_column) if inside else len(keep), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in chunks(b.column(len(keep))):
+            for lo, hi, data, offs in chunks(b.column(at)):
                 x = statistics(data, offs)
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:-1]], *[pa.array(x[:, i].copy()) for i in range(x.shape[1])]], names=[*keep, *STATISTICS])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:n]], *[pa.array(x[:, i].copy()) for i in range(x.shape[1])]], names=[*keep, *STATISTICS])
 
-    fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep]
-    return source.mapInArrow(run, ", ".join([*fields, *[f"{s} double" for s in STATISTICS]]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:n], *[T.StructField(s, T.DoubleType()) for s in STATISTICS]]))
 
 
 @dataclass
@@ -224,3 +228,8 @@ def classify(docs: DataFrame, rules: Rules, keep: list[str], text_column: str =
     out = with_statistics(docs, keep, text_column)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rules.column()))
     return out.select(*keep, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, rules: Rules, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the rules predict to be of label 1, with their own columns."""
+    return with_statistics(docs, docs.columns, text_column).where(rules.column() >= threshold).select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import chunks, text_of
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself (no text holds a lone surrogate).
@@ -60,8 +60,11 @@ class Vocabulary:
         #: The pieces and all their beginnings (id -1: no piece itself).
         self.tree = {p[:k]: (0.0, -1) for p in self.best for k in range(1, len(p))} | self.best
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.best)
-        self.raw = [bytes([self.byte_id.index(i)]) if i in set(self.byte_id) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        of_bytes = {i: k for k, i in enumerate(self.byte_id)}
+        self.raw = [bytes([of_bytes[i]]) if i in of_bytes else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.cache: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        self.arrays = None
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -155,28 +158,110 @@ def whole(symbols: str, v: Vocabulary) -> list[int]:
     return _ids(symbols, back, 0, n, v)
 
 
+def _edges(v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tree as arrays: sorted edge keys (node << 21 | code point), the nodes they lead
+    to, and each node's score and id (-1: no piece ends here)."""
+    if v.arrays is None:
+        number = {"": 0} | {p: i + 1 for i, p in enumerate(v.tree)}
+        keys = np.array([(number[p[:-1]] << 21) | ord(p[-1]) for p in v.tree], np.int64)
+        order = np.argsort(keys)
+        score = np.array([0.0, *[x[0] for x in v.tree.values()]])
+        ids = np.array([-1, *[x[1] for x in v.tree.values()]], np.int64)
+        v.arrays = keys[order], np.arange(1, len(keys) + 1)[order], score, ids
+    return v.arrays
+
+
+def _solve(stretches: list[str], v: Vocabulary) -> Iterator[tuple[str, bytes]]:
+    """`whole` for many stretches of one length at once."""
+    keys, leads, node_score, node_id = _edges(v)
+    n, many = len(stretches[0]), len(stretches)
+    chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(many, n).astype(np.int64)
+    score = np.full((n + 1, many), -1e300)
+    score[0] = 0
+    back = np.zeros((n + 1, many), np.int64)
+    piece = np.full((n + 1, many), -1, np.int64)
+    for i in range(n):
+        row, node, known = np.arange(many), np.zeros(many, np.int64), np.zeros(many, bool)
+        for j in range(i + 1, n + 1):
+            key = (node << 21) | chars[row, j - 1]
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            hit = keys[at] == key
+            if not hit.any():
+                break
+            row, node = row[hit], leads[at[hit]]
+            here = node_id[node] >= 0
+            if j == i + 1:
+                known[row[here]] = True
+            better = here & (score[i, row] + node_score[node] > score[j, row])
+            r = row[better]
+            score[j, r] = score[i, r] + node_score[node[better]]
+            back[j, r] = i
+            piece[j, r] = node_id[node[better]]
+        r = np.flatnonzero(~known & (score[i] + v.unknown > score[i + 1]))
+        score[i + 1, r] = score[i, r] + v.unknown
+        back[i + 1, r] = i
+        piece[i + 1, r] = np.where(chars[r, i] < 128, np.array(v.byte_id)[np.minimum(chars[r, i], 127)], -1)
+    ids = np.full((many, n), -1, "<i4")
+    pos, size, odd = np.full(many, n), np.zeros(many, np.int64), np.zeros(many, bool)
+    while True:
+        r = np.flatnonzero(pos > 0)
+        if not len(r):
+            break
+        got = piece[pos[r], r]
+        odd[r] |= got < 0
+        size[r] += 1
+        ids[r, n - size[r]] = got
+        pos[r] = back[pos[r], r]
+    flat = ids.tobytes()
+    for k, (stretch, m, strange) in enumerate(zip(stretches, size.tolist(), odd.tolist(), strict=True)):
+        end = 4 * n * (k + 1)
+        yield stretch, np.array(whole(stretch, v), "<i4").tobytes() if strange else flat[end - 4 * m : end]
+
+
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def encode_many(texts: list[str], v: Vocabulary) -> list[tuple[bytes, bool]]:
+    """For each text its ids as little-endian 32-bit integers, and whether they decode to
+    it. Both hold for a text because they hold for each of its stretches."""
+    if not v.cuts:
+        out = []
+        for t in texts:
+            symbols = SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)
+            ids = np.array([i for run in viterbi(symbols, v) for i in run] if t else [], "<i4")
+            out.append((ids.tobytes(), decode(ids.tolist(), v) == t))
+        return out
+    find, cache = _STRETCH.findall, v.cache
+    parts = [find(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
+    by_length: dict[int, list[str]] = {}
+    for stretch in set().union(*parts).difference(cache):
+        by_length.setdefault(len(stretch), []).append(stretch)
+    local: dict[str, bytes] = {}
+    for n, group in by_length.items():
+        if n > 64:
+            local.update((x, np.array([i for run in viterbi(x, v) for i in run], "<i4").tobytes()) for x in group)
+        else:
+            for k in range(0, len(group), 20_000):
+                cache.update(_solve(group[k : k + 20_000], v))
+    raw = v.raw
+    wrong = set()
+    for found, keys in ((local, local), (cache, [x for n, g in by_length.items() if n <= 64 for x in g])):
+        for stretch in keys:
+            said = b"".join([raw[i] for i in np.frombuffer(found[stretch], "<i4").tolist()])
+            if said != stretch.replace(SPACE, " ").replace(LITERAL, SPACE).encode():
+                wrong.add(stretch)
+    v.wrong |= wrong
+    get = (lambda x: local[x] if x in local else cache[x]) if local else cache.__getitem__
+    out = [(b"".join(map(get, p)), not v.wrong or v.wrong.isdisjoint(p)) for p in parts]
+    if len(cache) > CACHE:
+        cache.clear()
+    return out
+
+
 def encode(text: str, v: Vocabulary) -> bytes:
     """Ids of a text as little-endian 32-bit integers."""
-    if not text:
-        return b""
-    symbols = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
-    if not v.cuts:
-        return np.array([i for run in viterbi(symbols, v) for i in run], "<i4").tobytes()
-    cache, out = v.cache, []
-    for stretch in _STRETCH.findall(symbols):
-        ids = cache.get(stretch)
-        if ids is None:
-            short = len(stretch) <= 64
-            ids = np.array(whole(stretch, v) if short else [i for run in viterbi(stretch, v) for i in run], "<i4").tobytes()
-            if short:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[stretch] = ids
-        out.append(ids)
-    return b"".join(out)
+    return encode_many([text], v)[0][0]
 
 
 def decode(ids, v: Vocabulary) -> str:
@@ -203,17 +288,10 @@ def encode_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             )
 
         for b in batches:
-            parts, chars, exact, size, first = [], [], [], 0, 0
-            for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
-                ids = encode(text, v)
-                parts.append(ids)
-                chars.append(len(text))
-                exact.append(decode(np.frombuffer(ids, "<i4").tolist(), v) == text)
-                size += len(ids)
-                if size > 8_000_000 or i + 1 == b.num_rows:
-                    yield made(b.column(0).slice(first, i + 1 - first), parts, chars, exact)
-                    parts, chars, exact, size, first = [], [], [], 0, i + 1
+            for lo, hi, _, _ in chunks(b.column(1), 4_000_000):
+                texts = b.column(1).slice(lo, hi - lo).to_pylist()
+                coded = encode_many(texts, v)
+                yield made(b.column(0).slice(lo, hi - lo), [x for x, _ in coded], list(map(len, texts)), [x for _, x in coded])
 
     of = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {of}, n_chars bigint, n_ids bigint, ids array<int>, exact boolean")

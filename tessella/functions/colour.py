@@ -23,6 +23,24 @@ OKLAB_TO_LMS = [[1.0, 0.39633778, 0.21580376], [1.0, -0.105561346, -0.06385417],
 LMS_TO_XYZ = [[1.2270138, -0.55779994, 0.28125614], [-0.04058018, 1.1122569, -0.07167668], [-0.07638128, -0.42148197, 1.5861633]]
 
 
+def chain(*functions):
+    """The functions one after the other. Operators run each step as a projection of its
+    own (`steps`), because a step refers to its inputs many times."""
+    flat = [g for f in functions for g in steps(f)]
+
+    def run(v: Bands) -> Bands:
+        for f in flat:
+            v = f(v)
+        return v
+
+    run.steps = flat
+    return run
+
+
+def steps(f) -> list:
+    return getattr(f, "steps", [f])
+
+
 def matrix(m: list[list[float]], v: Bands) -> Bands:
     return [sum((F.lit(k) * x for k, x in zip(row[1:], v[1:], strict=True)), F.lit(row[0]) * v[0]) for row in m]
 
@@ -64,12 +82,10 @@ def xyz_to_scrgb(v: Bands) -> Bands:
     return matrix(XYZ_TO_RGB, v)
 
 
-def srgb_to_xyz(v: Bands) -> Bands:
-    return scrgb_to_xyz(srgb_to_scrgb(v))
+srgb_to_xyz = chain(srgb_to_scrgb, scrgb_to_xyz)
 
 
-def xyz_to_srgb(v: Bands) -> Bands:
-    return scrgb_to_srgb(xyz_to_scrgb(v))
+xyz_to_srgb = chain(xyz_to_scrgb, scrgb_to_srgb)
 
 
 def scrgb_to_bw(v: Bands) -> Bands:
@@ -102,12 +118,10 @@ def lab_to_xyz(v: Bands) -> Bands:
     return [_uncurve(a / 500.0 + cby, X0), y, _uncurve(cby - b / 200.0, Z0)]
 
 
-def srgb_to_lab(v: Bands) -> Bands:
-    return xyz_to_lab(srgb_to_xyz(v))
+srgb_to_lab = chain(srgb_to_xyz, xyz_to_lab)
 
 
-def lab_to_srgb(v: Bands) -> Bands:
-    return xyz_to_srgb(lab_to_xyz(v))
+lab_to_srgb = chain(lab_to_xyz, xyz_to_srgb)
 
 
 def hue(a: Column, b: Column) -> Column:
@@ -157,12 +171,10 @@ def yxy_to_xyz(v: Bands) -> Bands:
     return [F.when(none, F.lit(0.0)).otherwise(v[0] * v[1] / safe), v[0], F.when(none, F.lit(0.0)).otherwise(v[0] * (F.lit(1.0) - v[1] - v[2]) / safe)]
 
 
-def xyz_to_oklab(v: Bands) -> Bands:
-    return matrix(LMS_TO_OKLAB, [F.cbrt(x) for x in matrix(XYZ_TO_LMS, v)])
+xyz_to_oklab = chain(lambda v: [F.cbrt(x) for x in matrix(XYZ_TO_LMS, v)], lambda v: matrix(LMS_TO_OKLAB, v))
 
 
-def oklab_to_xyz(v: Bands) -> Bands:
-    return matrix(LMS_TO_XYZ, [x * x * x for x in matrix(OKLAB_TO_LMS, v)])
+oklab_to_xyz = chain(lambda v: matrix(OKLAB_TO_LMS, v), lambda v: matrix(LMS_TO_XYZ, [x * x * x for x in v]))
 
 
 oklab_to_oklch, oklch_to_oklab = lab_to_lch, lch_to_lab
@@ -276,8 +288,7 @@ def labs_to_labq(v: Bands) -> Bands:
     return [_byte(F.shiftright(light, 2)), _byte(F.shiftright(a, 3)), _byte(F.shiftright(b, 3)), low]
 
 
-def labq_to_srgb(v: Bands) -> Bands:
-    return lab_to_srgb(labq_to_lab(v))
+labq_to_srgb = chain(labq_to_lab, lab_to_srgb)
 
 
 def float_to_radiance(v: Bands) -> Bands:
@@ -292,12 +303,11 @@ def radiance_to_float(v: Bands) -> Bands:
     return [F.when(v[3] == 0, F.lit(0.0)).otherwise((x + 0.5) * F.pow(F.lit(2.0), v[3] - 136)) for x in v[:3]]
 
 
-def srgb_lab_adjust(v: Bands, scale: float, offset: float) -> Bands:
-    return lab_to_srgb([x * scale + offset for x in srgb_to_lab(v)])
+def srgb_lab_adjust(scale: float, offset: float):
+    return chain(srgb_to_lab, lambda v: [x * scale + offset for x in v], lab_to_srgb)
 
 
-def srgb_lab_roundtrip(v: Bands) -> Bands:
-    return lab_to_srgb(srgb_to_lab(v))
+srgb_lab_roundtrip = chain(srgb_to_lab, lab_to_srgb)
 
 
 # ---------------------------------------------------------------- transfer functions of video
@@ -332,38 +342,52 @@ def uhdr_to_scrgb(base: Bands, gain: Bands, lo: float, hi: float, gamma: float,
 # ---------------------------------------------------------------- differences
 
 
-def de76(a: Bands, b: Bands) -> Column:
-    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])))
+# Each takes the six bands of two colours and gives one.
+
+
+def de76(v: Bands) -> Bands:
+    d = [x - y for x, y in zip(v[:3], v[3:], strict=True)]
+    return [F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])]
+
 
+#: Distance after polar coordinates (L, C, h) become rectangular.
+decmc = chain(lambda v: [*lch_to_lab(v[:3]), *lch_to_lab(v[3:])], de76)
 
-def decmc(a: Bands, b: Bands) -> Column:
-    """Distance after polar coordinates (L, C, h) become rectangular."""
-    return de76(lch_to_lab(a), lch_to_lab(b))
 
+def _de00_chroma(v: Bands) -> Bands:
+    mean = (F.sqrt(v[1] * v[1] + v[2] * v[2]) + F.sqrt(v[4] * v[4] + v[5] * v[5])) / 2
+    return [*v, F.pow(mean, F.lit(7.0))]
 
-def de00(p: Bands, q: Bands) -> Column:
-    """CIEDE2000."""
-    (l1, a1, b1), (l2, a2, b2) = p, q
-    cbar = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
-    c7 = F.pow(cbar, F.lit(7.0))
-    g = (F.lit(1.0) - F.sqrt(c7 / (c7 + 25.0**7))) * 0.5
-    a1, a2 = a1 * (g + 1), a2 * (g + 1)
-    c1, c2, h1, h2 = F.hypot(a1, b1), F.hypot(a2, b2), hue(a1, b1), hue(a2, b2)
-    dl, dc, grey = l2 - l1, c2 - c1, c1 * c2 == 0
-    raw = h2 - h1
+
+def _de00_stretch(v: Bands) -> Bands:
+    g = (F.lit(1.0) - F.sqrt(v[6] / (v[6] + 25.0**7))) * 0.5 + 1
+    return [v[0], v[1] * g, v[2], v[3], v[4] * g, v[5]]
+
+
+def _de00_polar(v: Bands) -> Bands:
+    return [*lab_to_lch(v[:3]), *lab_to_lch(v[3:])]
+
+
+def _de00_means(v: Bands) -> Bands:
+    l1, c1, h1, l2, c2, h2 = v
+    grey, raw, total = c1 * c2 == 0, h2 - h1, h1 + h2
     dh = F.when(grey, F.lit(0.0)).when(F.abs(raw) <= 180, raw).when(raw > 180, raw - 360).otherwise(raw + 360)
-    dhh = F.sqrt(c1 * c2) * 2 * F.sin(F.radians(dh / 2))
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    total = h1 + h2
-    hm = F.when(grey, total).when(F.abs(h1 - h2) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    hm = F.when(grey, total).when(F.abs(raw) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    return [l2 - l1, c2 - c1, F.sqrt(c1 * c2) * 2 * F.sin(F.radians(dh / 2)), (l1 + l2) / 2, (c1 + c2) / 2, hm]
+
+
+def _de00_weights(v: Bands) -> Bands:
+    dl, dc, dh, lm, cm, hm = v
     t = F.lit(1.0) - F.cos(F.radians(hm - 30)) * 0.17 + F.cos(F.radians(hm * 2)) * 0.24 + F.cos(F.radians(hm * 3 + 6)) * 0.32 - F.cos(F.radians(hm * 4 - 63)) * 0.2
     turn = F.exp(-(((hm - 275) / 25) * ((hm - 275) / 25))) * 30
     cm7 = F.pow(cm, F.lit(7.0))
-    rc = F.sqrt(cm7 / (cm7 + 25.0**7)) * 2
     sl = (lm - 50) * (lm - 50) * 0.015 / F.sqrt((lm - 50) * (lm - 50) + 20) + 1
-    sc, sh = cm * 0.045 + 1, cm * t * 0.015 + 1
-    rt = -F.sin(F.radians(turn * 2)) * rc
-    return F.sqrt((dl / sl) * (dl / sl) + (dc / sc) * (dc / sc) + (dhh / sh) * (dhh / sh) + rt * (dc / sc) * (dhh / sh))
+    rt = -F.sin(F.radians(turn * 2)) * F.sqrt(cm7 / (cm7 + 25.0**7)) * 2
+    return [dl / sl, dc / (cm * 0.045 + 1), dh / (cm * t * 0.015 + 1), rt]
+
+
+#: CIEDE2000.
+de00 = chain(_de00_chroma, _de00_stretch, _de00_polar, _de00_means, _de00_weights, lambda v: [F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2] + v[3] * v[1] * v[2])])
 
 
 # ---------------------------------------------------------------- routes
@@ -395,8 +419,7 @@ def route(source: str, target: str) -> list[str]:
     return way[::-1]
 
 
-def convert(v: Bands, source: str, target: str) -> Bands:
+def conversion(source: str, target: str):
+    """The chain of conversions on the shortest way."""
     way = route(source, target)
-    for step in zip(way, way[1:], strict=False):
-        v = STEPS[step](v)
-    return v
+    return chain(*[STEPS[step] for step in zip(way, way[1:], strict=False)])

@@ -168,9 +168,29 @@ def _wide_map(r: Raster, f, bands: int | None = None, fmt=None) -> Raster:
     return r.with_df(r.wide().select(*r.pixel, cells), bands=bands or len(out), fmt=fmt or r.fmt)
 
 
+def _steps(df, keep: list[str], v: list[Column], f):
+    """The steps of a chain, each a projection."""
+    from ..functions.colour import steps
+
+    for i, g in enumerate(steps(f)):
+        out = g(v)
+        df = df.select(*keep, *[x.cast("double").alias(f"__{i}_{j}") for j, x in enumerate(out)])
+        v = [F.col(f"__{i}_{j}") for j in range(len(out))]
+    return df, v
+
+
 def colour(r: Raster, f, fmt=None) -> Raster:
-    """A function of tessella.functions.colour on each pixel."""
-    return _wide_map(r, lambda b: [x.cast("double") for x in f(b)], None, fmt or s.F64)
+    """A function (or chain) of tessella.functions.colour on each pixel."""
+    df, v = _steps(r.wide(), r.pixel, [F.col(f"b{i}") for i in range(r.bands)], f)
+    return r.with_df(df.select(*r.pixel, F.posexplode(F.array(*v)).alias("band", "v")), bands=len(v), fmt=fmt or s.F64)
+
+
+def colour_difference(a: Raster, b: Raster, f) -> Raster:
+    """A function of the bands of two images, those of `a` first."""
+    right = b.wide().withColumnsRenamed({f"b{i}": f"c{i}" for i in range(b.bands)})
+    both = a.wide().join(right, a.pixel)
+    df, v = _steps(both, a.pixel, [*[F.col(f"b{i}") for i in range(a.bands)], *[F.col(f"c{i}") for i in range(b.bands)]], f)
+    return a.with_df(df.select(*a.pixel, F.lit(0).alias("band"), v[0].alias("v")), bands=1, fmt=s.F64)
 
 
 def flatten(r: Raster, background: list[int]) -> Raster:

@@ -346,7 +346,7 @@ def frequency_mask(spark, width: int, height: int, kind: str, cutoff: float = 0.
         if kind == "ideal":
             v = F.when(d2 <= cutoff * cutoff, 0.0).otherwise(1.0)
         elif kind == "ideal-ring":
-            v = F.when((d2 > (cutoff - df) ** 2) & (d2 < (cutoff + df) ** 2), 1.0).otherwise(0.0)
+            v = F.when((d2 > (cutoff - df) * (cutoff - df)) & (d2 < (cutoff + df) * (cutoff + df)), 1.0).otherwise(0.0)
         elif kind == "ideal-band":
             v = F.when((d1 < r2) | (e1 < r2), 1.0).otherwise(0.0)
         elif kind == "gaussian":

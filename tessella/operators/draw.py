@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import samples as s
 from ..raster import Raster
 
-Y, X = F.col("y"), F.col("x")
-
 
 def _ink(r: Raster, ink: list[float]) -> Column:
     return F.get(F.array(*[F.lit(v).cast(r.fmt.stored) for v in ink]), F.col("band"))
@@ -23,17 +21,17 @@ def _paint(r: Raster, where: Column, ink: list[float]) -> Raster:
 
 def _places(r: Raster, points: set[tuple[int, int]]) -> Column:
     inside = sorted(y * r.width + x for y, x in points if 0 <= y < r.height and 0 <= x < r.width)
-    return F.array_contains(F.array(*map(F.lit, inside)), Y * r.width + X) if inside else F.lit(False)
+    return F.array_contains(F.array(*map(F.lit, inside)), F.col("y") * r.width + F.col("x")) if inside else F.lit(False)
 
 
 def draw_point(r: Raster, x: int, y: int, ink: list[float]) -> Raster:
-    return _paint(r, (X == x) & (Y == y), ink)
+    return _paint(r, (F.col("x") == x) & (F.col("y") == y), ink)
 
 
 def draw_rect(r: Raster, left: int, top: int, width: int, height: int, ink: list[float], fill: bool = True) -> Raster:
-    inside = X.between(left, left + width - 1) & Y.between(top, top + height - 1)
+    inside = F.col("x").between(left, left + width - 1) & F.col("y").between(top, top + height - 1)
     if not fill:
-        inside = inside & ((X == left) | (X == left + width - 1) | (Y == top) | (Y == top + height - 1))
+        inside = inside & ((F.col("x") == left) | (F.col("x") == left + width - 1) | (F.col("y") == top) | (F.col("y") == top + height - 1))
     return _paint(r, inside, ink)
 
 
@@ -77,7 +75,7 @@ def draw_circle(r: Raster, cx: int, cy: int, radius: int, ink: list[float], fill
             spans.setdefault(y, []).append(x)
         test = F.lit(False)
         for y, xs in spans.items():
-            test = test | ((Y == y) & X.between(min(xs), max(xs)))
+            test = test | ((F.col("y") == y) & F.col("x").between(min(xs), max(xs)))
         return _paint(r, test, ink)
     return _paint(r, _places(r, points), ink)
 
@@ -87,7 +85,7 @@ def draw_flood(r: Raster, x: int, y: int, ink: list[float]) -> Raster:
     from .neighbourhood import label_regions
 
     named = label_regions(r)
-    seed = named.df.where((X == x) & (Y == y)).select(*r.keys, F.col("v").alias("__seed"))
+    seed = named.df.where((F.col("x") == x) & (F.col("y") == y)).select(*r.keys, F.col("v").alias("__seed"))
     region = named.df.join(F.broadcast(seed), list(r.keys)) if r.keys else named.df.join(F.broadcast(seed), F.lit(True))
     hit = region.where("v = __seed").select(*r.pixel, F.lit(True).alias("__hit"))
     return r.with_df(r.df.join(hit, r.pixel, "left").withColumn("v", F.when(F.col("__hit"), _ink(r, ink)).otherwise(F.col("v"))))
@@ -95,7 +93,7 @@ def draw_flood(r: Raster, x: int, y: int, ink: list[float]) -> Raster:
 
 def draw_image(r: Raster, sub: Raster, x: int, y: int, mode: str = "set") -> Raster:
     """set, or add with saturation (16-bit signed samples saturate to -128..127 in this mode)."""
-    moved = sub.remap(Y + y, X + x).df.withColumnRenamed("v", "__w")
+    moved = sub.remap(F.col("y") + y, F.col("x") + x).df.withColumnRenamed("v", "__w")
     fmt = s.Format("i8", -128, 127, 8, "int", "bigint") if r.fmt.name == "i16" else r.fmt
     new = F.col("__w") if mode == "set" else s.add(F.col("v"), F.col("__w"), fmt)
     return r.with_df(r.df.join(moved, r.at, "left").withColumn("v", F.when(F.col("__w").isNull(), F.col("v")).otherwise(new)))
@@ -103,7 +101,7 @@ def draw_image(r: Raster, sub: Raster, x: int, y: int, mode: str = "set") -> Ras
 
 def draw_mask(r: Raster, mask: Raster, x: int, y: int, ink: list[float]) -> Raster:
     """Ink by an 8-bit mask: (ink m + v (255 - m)) / 255."""
-    moved = mask.remap(Y + y, X + x).df.where("band = 0").drop("band").withColumnRenamed("v", "__m")
+    moved = mask.remap(F.col("y") + y, F.col("x") + x).df.where("band = 0").drop("band").withColumnRenamed("v", "__m")
     v = (_ink(r, ink) * F.col("__m") + F.col("v") * (F.lit(255) - F.col("__m"))) / 255
     return r.with_df(r.df.join(moved, r.pixel, "left").withColumn("v", F.when(F.col("__m").isNull(), F.col("v")).otherwise(s.truncated(v, r.fmt))))
 
@@ -115,7 +113,7 @@ def draw_smudge(r: Raster, left: int, top: int, width: int, height: int) -> Rast
 
     keys, w, h, whole = list(r.keys), r.width, r.height, r.fmt.integral
     y0, y1, x0, x1 = max(0, top), min(h, top + height), max(0, left), min(w, left + width)
-    near = r.df.where(Y.between(y0 - 1, y1) & X.between(x0 - 1, x1))
+    near = r.df.where(F.col("y").between(y0 - 1, y1) & F.col("x").between(x0 - 1, x1))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         v = {(int(y), int(x)): float(k) for y, x, k in zip(g.y, g.x, g.v, strict=True)}
@@ -128,5 +126,5 @@ def draw_smudge(r: Raster, left: int, top: int, width: int, height: int) -> Rast
 
     schema = r.df.select(*r.at, F.col("v").cast("double").alias("v")).schema
     done = near.select(*r.at, F.col("v").cast("double").alias("v")).groupBy(*keys, "band").applyInPandas(run, schema)
-    rest = r.df.where(~(Y.between(y0 - 1, y1) & X.between(x0 - 1, x1)))
+    rest = r.df.where(~(F.col("y").between(y0 - 1, y1) & F.col("x").between(x0 - 1, x1)))
     return r.with_df(rest.unionByName(done.withColumn("v", F.col("v").cast(r.fmt.stored))))

@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 
 from ..raster import Raster
 
-X, Y = F.col("x"), F.col("y")
-
 
 def extract_area(r: Raster, x: int, y: int, width: int, height: int) -> Raster:
-    inside = r.df.where(X.between(x, x + width - 1) & Y.between(y, y + height - 1))
-    return r.with_df(inside).remap(Y - y, X - x, width=width, height=height)
+    inside = r.df.where(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))
+    return r.with_df(inside).remap(F.col("y") - y, F.col("x") - x, width=width, height=height)
 
 
 def flip_horizontal(r: Raster) -> Raster:
-    return r.remap(Y, F.lit(r.width - 1) - X)
+    return r.remap(F.col("y"), F.lit(r.width - 1) - F.col("x"))
 
 
 def flip_vertical(r: Raster) -> Raster:
-    return r.remap(F.lit(r.height - 1) - Y, X)
+    return r.remap(F.lit(r.height - 1) - F.col("y"), F.col("x"))
 
 
 def flip(r: Raster, direction: str) -> Raster:
@@ -30,15 +28,15 @@ def flip(r: Raster, direction: str) -> Raster:
 
 def rotate90(r: Raster) -> Raster:
     """Clockwise."""
-    return r.remap(X, F.lit(r.height - 1) - Y, width=r.height, height=r.width)
+    return r.remap(F.col("x"), F.lit(r.height - 1) - F.col("y"), width=r.height, height=r.width)
 
 
 def rotate180(r: Raster) -> Raster:
-    return r.remap(F.lit(r.height - 1) - Y, F.lit(r.width - 1) - X)
+    return r.remap(F.lit(r.height - 1) - F.col("y"), F.lit(r.width - 1) - F.col("x"))
 
 
 def rotate270(r: Raster) -> Raster:
-    return r.remap(F.lit(r.width - 1) - X, Y, width=r.height, height=r.width)
+    return r.remap(F.lit(r.width - 1) - F.col("x"), F.col("y"), width=r.height, height=r.width)
 
 
 def rot(r: Raster, degrees: int) -> Raster:
@@ -74,13 +72,13 @@ def rot45(r: Raster, degrees: int) -> Raster:
     if r.width != r.height or r.width % 2 == 0:
         raise ValueError("only odd squares turn by 45 degrees")
     places = F.array(*[F.lit(ty * r.width + tx) for _, _, ty, tx in rot45_map(r.width, degrees // 45)])
-    to = F.get(places, Y * r.width + X)
+    to = F.get(places, F.col("y") * r.width + F.col("x"))
     return r.remap(F.floor(to / r.width), to % r.width)
 
 
 def subsample(r: Raster, xfac: int, yfac: int) -> Raster:
-    kept = r.df.where((X % xfac == 0) & (Y % yfac == 0))
-    return r.with_df(kept).remap(F.floor(Y / yfac), F.floor(X / xfac), width=-(-r.width // xfac), height=-(-r.height // yfac))
+    kept = r.df.where((F.col("x") % xfac == 0) & (F.col("y") % yfac == 0))
+    return r.with_df(kept).remap(F.floor(F.col("y") / yfac), F.floor(F.col("x") / xfac), width=-(-r.width // xfac), height=-(-r.height // yfac))
 
 
 def _spread(r: Raster, n: int, name: str):
@@ -90,25 +88,25 @@ def _spread(r: Raster, n: int, name: str):
 def zoom(r: Raster, xfac: int, yfac: int) -> Raster:
     df = _spread(r, xfac * yfac, "__k")
     out = r.with_df(r.df)
-    df = df.withColumns({"y": (Y * yfac + F.floor(F.col("__k") / xfac)).cast("int"), "x": (X * xfac + F.col("__k") % xfac).cast("int")})
+    df = df.withColumns({"y": (F.col("y") * yfac + F.floor(F.col("__k") / xfac)).cast("int"), "x": (F.col("x") * xfac + F.col("__k") % xfac).cast("int")})
     return out.with_df(df, width=r.width * xfac, height=r.height * yfac)
 
 
 def replicate(r: Raster, across: int, down: int) -> Raster:
     df = _spread(r, across * down, "__k")
-    df = df.withColumns({"y": (Y + F.floor(F.col("__k") / across) * r.height).cast("int"), "x": (X + F.col("__k") % across * r.width).cast("int")})
+    df = df.withColumns({"y": (F.col("y") + F.floor(F.col("__k") / across) * r.height).cast("int"), "x": (F.col("x") + F.col("__k") % across * r.width).cast("int")})
     return r.with_df(df, width=r.width * across, height=r.height * down)
 
 
 def wrap(r: Raster, x: int, y: int) -> Raster:
     """(0, 0) moves to (x, y)."""
-    return r.remap(F.pmod(Y + y, F.lit(r.height)), F.pmod(X + x, F.lit(r.width)))
+    return r.remap(F.pmod(F.col("y") + y, F.lit(r.height)), F.pmod(F.col("x") + x, F.lit(r.width)))
 
 
 def transpose3d(r: Raster, page_height: int) -> Raster:
     """Line l of page p becomes line p of page l."""
     pages = r.height // page_height
-    return r.remap((Y % page_height) * pages + F.floor(Y / page_height), X)
+    return r.remap((F.col("y") % page_height) * pages + F.floor(F.col("y") / page_height), F.col("x"))
 
 
 def filled(r: Raster, width: int, height: int, background: float = 0) -> Raster:
@@ -122,8 +120,8 @@ def grid(r: Raster, tile_height: int, across: int) -> Raster:
     """A vertical strip of tiles to a grid, row by row; missing cells are zero."""
     tiles = r.height // tile_height
     down = -(-tiles // across)
-    t = F.floor(Y / tile_height)
-    moved = r.remap(F.floor(t / across) * tile_height + Y % tile_height, (t % across) * r.width + X)
+    t = F.floor(F.col("y") / tile_height)
+    moved = r.remap(F.floor(t / across) * tile_height + F.col("y") % tile_height, (t % across) * r.width + F.col("x"))
     return filled(moved, r.width * across, tile_height * down)
 
 
@@ -143,9 +141,9 @@ def embed(r: Raster, width: int, height: int, x: int, y: int, extend: str = "bla
     """extend: black, white, background, copy (edge), repeat or mirror."""
     fill = {"black": 0, "white": r.fmt.hi if r.fmt.integral else 1.0}.get(extend, background)
     if extend in ("black", "white", "background"):
-        inside = r.remap(Y + y, X + x)
-        return filled(inside.with_df(inside.df.where(X.between(0, width - 1) & Y.between(0, height - 1))), width, height, fill)
-    places = r.grid(width, height).select(*r.keys, "y", "x", extended(Y - y, r.height, extend).cast("int").alias("__y"), extended(X - x, r.width, extend).cast("int").alias("__x"))
+        inside = r.remap(F.col("y") + y, F.col("x") + x)
+        return filled(inside.with_df(inside.df.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))), width, height, fill)
+    places = r.grid(width, height).select(*r.keys, "y", "x", extended(F.col("y") - y, r.height, extend).cast("int").alias("__y"), extended(F.col("x") - x, r.width, extend).cast("int").alias("__x"))
     source = r.df.withColumnsRenamed({"y": "__y", "x": "__x"})
     return r.with_df(places.join(source, [*r.keys, "__y", "__x"]), width=width, height=height)
 
@@ -160,7 +158,7 @@ def gravity(r: Raster, width: int, height: int, direction: str = "centre", exten
 
 def join(a: Raster, b: Raster, direction: str = "horizontal") -> Raster:
     across = direction == "horizontal"
-    right = b.remap(Y, X + a.width) if across else b.remap(Y + a.height, X)
+    right = b.remap(F.col("y"), F.col("x") + a.width) if across else b.remap(F.col("y") + a.height, F.col("x"))
     width = a.width + b.width if across else max(a.width, b.width)
     height = max(a.height, b.height) if across else a.height + b.height
     both = a.with_df(a.df.unionByName(right.df))
@@ -173,8 +171,8 @@ def insert(main: Raster, sub: Raster, x: int, y: int, expand: bool = False, back
     left, top = (min(0, x), min(0, y)) if expand else (0, 0)
     width = max(main.width, x + sub.width) - left if expand else main.width
     height = max(main.height, y + sub.height) - top if expand else main.height
-    moved = sub.remap(Y + (y - top), X + (x - left)).df.where(X.between(0, width - 1) & Y.between(0, height - 1))
-    base = main.remap(Y - top, X - left).df
+    moved = sub.remap(F.col("y") + (y - top), F.col("x") + (x - left)).df.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    base = main.remap(F.col("y") - top, F.col("x") - left).df
     both = base.join(moved.withColumnRenamed("v", "__w"), main.at, "full").withColumn("v", F.coalesce("__w", "v"))
     out = main.with_df(both, width=width, height=height)
     return filled(out, width, height, background) if expand else out
@@ -209,8 +207,8 @@ def smartcrop(r: Raster, width: int, height: int, interesting: str = "centre") -
         a, b = offset("y", height, top, "__y"), offset("x", width, left, "__x")
         best = a.join(b, list(r.keys)) if r.keys else a.join(b, F.lit(True))
     df = r.df.join(F.broadcast(best), list(r.keys)) if r.keys else r.df.join(F.broadcast(best), F.lit(True))
-    df = df.where((Y >= F.col("__y")) & (Y < F.col("__y") + height) & (X >= F.col("__x")) & (X < F.col("__x") + width))
-    return r.with_df(df.withColumns({"y": (Y - F.col("__y")).cast("int"), "x": (X - F.col("__x")).cast("int")}), width=width, height=height)
+    df = df.where((F.col("y") >= F.col("__y")) & (F.col("y") < F.col("__y") + height) & (F.col("x") >= F.col("__x")) & (F.col("x") < F.col("__x") + width))
+    return r.with_df(df.withColumns({"y": (F.col("y") - F.col("__y")).cast("int"), "x": (F.col("x") - F.col("__x")).cast("int")}), width=width, height=height)
 
 
 def sequential(r: Raster) -> Raster:

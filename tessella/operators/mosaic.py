@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import samples as s
 from ..raster import Raster
 
-Y, X = F.col("y"), F.col("x")
-
 
 def merge(a: Raster, b: Raster, direction: str, dx: int, dy: int, blend: int = 10) -> Raster:
     """b stands at (-dx, -dy) of a on the union canvas. Pixels that are zero in all bands are
@@ -19,8 +17,8 @@ def merge(a: Raster, b: Raster, direction: str, dx: int, dy: int, blend: int = 1
     bx, by = -dx, -dy
     left, top = min(0, bx), min(0, by)
     width, height = max(a.width, bx + b.width) - left, max(a.height, by + b.height) - top
-    pa = a.remap(Y - top, X - left).df.withColumnRenamed("v", "va")
-    pb = b.remap(Y + (by - top), X + (bx - left)).df.withColumnRenamed("v", "vb")
+    pa = a.remap(F.col("y") - top, F.col("x") - left).df.withColumnRenamed("v", "va")
+    pb = b.remap(F.col("y") + (by - top), F.col("x") + (bx - left)).df.withColumnRenamed("v", "vb")
     both = pa.join(pb, a.at, "full")
     solid = both.groupBy(*a.pixel).agg(F.max(F.coalesce((F.col("va") != 0).cast("int"), F.lit(0))).alias("sa"), F.max(F.coalesce((F.col("vb") != 0).cast("int"), F.lit(0))).alias("sb"))
     line, along = ("y", "x") if direction == "horizontal" else ("x", "y")
@@ -55,7 +53,7 @@ def tie_points(a: Raster, b: Raster, dx: int, dy: int, radius: int) -> DataFrame
     n = 2 * radius + 1
     offsets = F.array(*[F.struct(F.lit(i).alias("oy"), F.lit(j).alias("ox")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
     right = b.df.where("band = 0").withColumn("o", F.explode(offsets)) if n > 1 else b.df.where("band = 0").withColumn("o", offsets[0])
-    right = right.select(*b.keys, (Y - (F.lit(dy) + F.col("o.oy"))).cast("int").alias("y"), (X - (F.lit(dx) + F.col("o.ox"))).cast("int").alias("x"), "o", F.col("v").cast("double").alias("w"))
+    right = right.select(*b.keys, (F.col("y") - (F.lit(dy) + F.col("o.oy"))).cast("int").alias("y"), (F.col("x") - (F.lit(dx) + F.col("o.ox"))).cast("int").alias("x"), "o", F.col("v").cast("double").alias("w"))
     both = a.df.where("band = 0").select(*a.pixel, F.col("v").cast("double").alias("v")).join(right, a.pixel)
     v, w = F.col("v"), F.col("w")
     sums = both.groupBy(*a.keys, "o").agg(F.count("*").alias("n"), F.sum(v).alias("sv"), F.sum(w).alias("sw"), F.sum(v * v).alias("vv"), F.sum(w * w).alias("ww"), F.sum(v * w).alias("vw"))

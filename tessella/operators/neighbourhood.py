@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import samples as s
 from ..raster import Raster
 
-Y, X = F.col("y"), F.col("x")
-
 
 def neighbours(r: Raster, offsets: list[tuple[int, int]], extra: list[list[float]] | None = None):
     """Rows (keys, y, x, band, k, w) for each place and each offset k of a stencil: w is the
@@ -33,13 +31,13 @@ def neighbours(r: Raster, offsets: list[tuple[int, int]], extra: list[list[float
 
     df = r.df
     if up or down:
-        df = df.withColumn("y", F.explode(sources(Y, r.height, up, down)))
+        df = df.withColumn("y", F.explode(sources(F.col("y"), r.height, up, down)))
     if left or right:
-        df = df.withColumn("x", F.explode(sources(X, r.width, left, right)))
+        df = df.withColumn("x", F.explode(sources(F.col("x"), r.width, left, right)))
     cells = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(a).alias("dy"), F.lit(b).alias("dx")) for i, (a, b) in enumerate(offsets)])
     df = df.withColumn("__o", F.explode(cells)) if n > 1 else df.withColumn("__o", cells[0])
-    df = df.select(*r.keys, (Y - F.col("__o.dy")).alias("y"), (X - F.col("__o.dx")).alias("x"), "band", F.col("__o.k").alias("k"), F.col("v").alias("w"))
-    return df.where(Y.between(0, r.height - 1) & X.between(0, r.width - 1))
+    df = df.select(*r.keys, (F.col("y") - F.col("__o.dy")).alias("y"), (F.col("x") - F.col("__o.dx")).alias("x"), "band", F.col("__o.k").alias("k"), F.col("v").alias("w"))
+    return df.where(F.col("y").between(0, r.height - 1) & F.col("x").between(0, r.width - 1))
 
 
 def _offsets(rows: int, cols: int) -> list[tuple[int, int]]:
@@ -275,12 +273,12 @@ def nearest(r: Raster) -> Raster:
     from pyspark.sql import Window
 
     col = Window.partitionBy(*r.keys, "band", "x")
-    hit = F.when(F.col("v") != 0, Y)
+    hit = F.when(F.col("v") != 0, F.col("y"))
     above = F.last(hit, ignorenulls=True).over(col.orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(hit, ignorenulls=True).over(col.orderBy("y").rowsBetween(0, Window.unboundedFollowing))
-    d = r.df.withColumn("d", F.least(Y - above, below - Y)).select(*r.keys, "band", "y", "x", "d")
+    d = r.df.withColumn("d", F.least(F.col("y") - above, below - F.col("y"))).select(*r.keys, "band", "y", "x", "d")
     row = d.where("d is not null").groupBy(*r.keys, "band", "y").agg(F.collect_list(F.struct("x", "d")).alias("c"))
-    best = F.array_min(F.transform("c", lambda e: (e["x"] - X) * (e["x"] - X) + e["d"] * e["d"]))
+    best = F.array_min(F.transform("c", lambda e: (e["x"] - F.col("x")) * (e["x"] - F.col("x")) + e["d"] * e["d"]))
     out = d.drop("d").join(row, [*r.keys, "band", "y"], "left").withColumn("v", F.coalesce(F.sqrt(best.cast("double")), F.lit(float("inf"))))
     return r.with_df(out, fmt=s.F64)
 
@@ -309,10 +307,10 @@ def label_regions(r: Raster, threshold: float | None = None, checkpoint=None) ->
 
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
         checkpoint = lambda d: d.checkpoint()
-    place = (Y.cast("bigint") * r.width + X).alias("p")
+    place = (F.col("y").cast("bigint") * r.width + F.col("x")).alias("p")
     cells = r.df.where("band = 0")
     value = F.col("v") if threshold is None else F.when(F.col("v") > threshold, F.lit(1))
-    nodes = cells.select(*r.keys, place, value.cast("double").alias("c"), X).where("c is not null")
+    nodes = cells.select(*r.keys, place, value.cast("double").alias("c"), F.col("x")).where("c is not null")
     keys = list(r.keys)
     right = nodes.select(*keys, (F.col("p") - 1).alias("p"), F.col("c").alias("d"), F.col("p").alias("q")).where(F.col("q") % r.width != 0)
     below = nodes.select(*keys, (F.col("p") - r.width).alias("p"), F.col("c").alias("d"), F.col("p").alias("q"))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import samples as s
 from ..raster import Raster
 
-Y, X = F.col("y"), F.col("x")
-
 
 def avg(r: Raster) -> DataFrame:
     return r.df.groupBy(*r.keys).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("avg"))
@@ -85,8 +83,8 @@ def project(r: Raster) -> DataFrame:
 def profile(r: Raster) -> DataFrame:
     """First sample that is not zero, per column and per row; the extent where there is none."""
     hit = F.col("v") != 0
-    cols = r.df.groupBy(*r.keys, "band", F.col("x").alias("place")).agg(F.coalesce(F.min(F.when(hit, Y)), F.lit(r.height)).alias("first")).withColumn("axis", F.lit("column"))
-    rows = r.df.groupBy(*r.keys, "band", F.col("y").alias("place")).agg(F.coalesce(F.min(F.when(hit, X)), F.lit(r.width)).alias("first")).withColumn("axis", F.lit("row"))
+    cols = r.df.groupBy(*r.keys, "band", F.col("x").alias("place")).agg(F.coalesce(F.min(F.when(hit, F.col("y"))), F.lit(r.height)).alias("first")).withColumn("axis", F.lit("column"))
+    rows = r.df.groupBy(*r.keys, "band", F.col("y").alias("place")).agg(F.coalesce(F.min(F.when(hit, F.col("x"))), F.lit(r.width)).alias("first")).withColumn("axis", F.lit("row"))
     return cols.unionByName(rows)
 
 
@@ -153,7 +151,7 @@ def hough_line(r: Raster, width: int, height: int, threshold: float) -> DataFram
     angles are a generator in the task and votes are combined before the shuffle."""
     theta = F.col("theta") * (math.pi / width)
     half = math.hypot(r.width, r.height)
-    rho = F.floor(((X * F.cos(theta) + Y * F.sin(theta)) / half + 1) * 0.5 * (height - 1) + 0.5).cast("int")
+    rho = F.floor(((F.col("x") * F.cos(theta) + F.col("y") * F.sin(theta)) / half + 1) * 0.5 * (height - 1) + 0.5).cast("int")
     hits = r.df.where(F.col("v") > threshold).withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     return hits.groupBy(*r.keys, "theta", rho.alias("rho")).agg(F.count("*").alias("votes"))
 
@@ -163,9 +161,9 @@ def hough_circle(r: Raster, scale: int, min_radius: int, max_radius: int, thresh
     points = [(k, round(k / scale * math.sin(t)), round(k / scale * math.cos(t))) for k in range(min_radius, max_radius + 1, scale) for t in [2 * math.pi * i / max(8, 8 * k // scale) for i in range(max(8, 8 * k // scale))]]
     cells = F.array(*[F.struct(F.lit(k).alias("radius"), F.lit(a).alias("dy"), F.lit(b).alias("dx")) for k, a, b in sorted(set(points))])
     hits = r.df.where(F.col("v") > threshold).withColumn("p", F.explode(cells))
-    cy, cx = (F.floor(Y / scale) + F.col("p.dy")).cast("int"), (F.floor(X / scale) + F.col("p.dx")).cast("int")
+    cy, cx = (F.floor(F.col("y") / scale) + F.col("p.dy")).cast("int"), (F.floor(F.col("x") / scale) + F.col("p.dx")).cast("int")
     votes = hits.groupBy(*r.keys, F.col("p.radius").alias("radius"), cy.alias("y"), cx.alias("x")).agg(F.count("*").alias("votes"))
-    return votes.where(Y.between(0, r.height // scale - 1) & X.between(0, r.width // scale - 1))
+    return votes.where(F.col("y").between(0, r.height // scale - 1) & F.col("x").between(0, r.width // scale - 1))
 
 
 # ---------------------------------------------------------------- tables of counts

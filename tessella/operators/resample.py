@@ -12,7 +12,6 @@ from ..functions import samples as s
 from ..raster import Raster
 from . import geometry
 
-Y, X = F.col("y"), F.col("x")
 SUPPORT = {"nearest": 0.5, "linear": 1.0, "cubic": 2.0, "catmullrom": 2.0, "quadratic": 1.5, "lanczos2": 2.0, "lanczos3": 3.0, "nohalo": 2.5, "lbb": 2.0, "vsqbs": 1.5}
 PHASES = 64
 
@@ -167,7 +166,7 @@ def weight(kernel: str, x: Column) -> Column:
 def affine(r: Raster, matrix: tuple[float, float, float, float], tx: float, ty: float, width: int, height: int, kernel: str = "linear", background: float = 0.0) -> Raster:
     """Output (X, Y) reads the source at x = a X + b Y + tx, y = c X + d Y + ty."""
     a, b, c, d = map(float, matrix)
-    return warp(r, width, height, X * c + Y * d + ty, X * a + Y * b + tx, kernel, background)
+    return warp(r, width, height, F.col("x") * c + F.col("y") * d + ty, F.col("x") * a + F.col("y") * b + tx, kernel, background)
 
 
 def similarity(r: Raster, scale: float, angle: float, width: int, height: int, kernel: str = "linear") -> Raster:
@@ -180,9 +179,9 @@ def similarity(r: Raster, scale: float, angle: float, width: int, height: int, k
 def quadratic(r: Raster, coefficients: list[tuple[float, float]], width: int, height: int, kernel: str = "linear") -> Raster:
     """Backward warp by polynomials: (x, y) coefficients of 1, X, Y, XY, X^2, Y^2; shorter lists
     are lower orders."""
-    terms = [F.lit(1.0), X.cast("double"), Y.cast("double"), (X * Y).cast("double"), (X * X).cast("double"), (Y * Y).cast("double")]
-    sx = sum((t * float(k[0]) for t, k in zip(terms[1:], coefficients[1:], strict=False)), X + float(coefficients[0][0]))
-    sy = sum((t * float(k[1]) for t, k in zip(terms[1:], coefficients[1:], strict=False)), Y + float(coefficients[0][1]))
+    terms = [F.lit(1.0), F.col("x").cast("double"), F.col("y").cast("double"), (F.col("x") * F.col("y")).cast("double"), (F.col("x") * F.col("x")).cast("double"), (F.col("y") * F.col("y")).cast("double")]
+    sx = sum((t * float(k[0]) for t, k in zip(terms[1:], coefficients[1:], strict=False)), F.col("x") + float(coefficients[0][0]))
+    sy = sum((t * float(k[1]) for t, k in zip(terms[1:], coefficients[1:], strict=False)), F.col("y") + float(coefficients[0][1]))
     return warp(r, width, height, sy, sx, kernel)
 
 
@@ -210,7 +209,7 @@ def resize(r: Raster, hscale: float, vscale: float | None = None, kernel: str =
         fx, fy = width / r.width, height / r.height
         if kernel == "nearest" and fx == int(fx) and fy == int(fy):
             return geometry.zoom(r, int(fx), int(fy))
-        r = warp(r, width, height, (Y + 0.5) / fy - 0.5, (X + 0.5) / fx - 0.5, kernel if kernel != "nearest" else "nearest", extend="copy")
+        r = warp(r, width, height, (F.col("y") + 0.5) / fy - 0.5, (F.col("x") + 0.5) / fx - 0.5, kernel if kernel != "nearest" else "nearest", extend="copy")
     return r
 
 

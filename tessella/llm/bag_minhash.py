@@ -14,9 +14,10 @@ weighted (multiset) Jaccard similarity is at least `threshold`.
 2. Bands. Texts with equal multisets are one node. Nodes that agree in all components of a
    band share a bucket. 24 bands of 4 find a pair of similarity 0.8 with probability 1 - 3e-6.
 3. Verification. In each bucket members are compared to a leader, never to all others:
-   first each node to one leader, then to the other leaders that are not yet in its
-   component; then the buckets of at most `small` nodes compare all pairs of different
-   components, and larger ones rotate their leaders until rounds bring no link. The overlap
+   first each node to one leader; then to the other leaders that are not yet in its
+   component, and buckets of at most `small` nodes compare all pairs of different components;
+   then members of larger buckets meet in finer ones of two bands, with three new leaders
+   a round until a round brings no link. The overlap
    is computed on whole shingle multisets, as 32-bit hashes of (shingle, occurrence).
 4. Classes are the connected components of the verified links.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, chunks, connected, maybe_broadcast, mix, text_of, uniform, words
+from .common import BROADCAST_ROWS, Scratch, chunks, connected, maybe_broadcast, mix, text_of, uniform, words, tidied
 
 _U = np.uint64
 WIDTH, BANDS, ROWS = 5, 24, 4
@@ -149,7 +150,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[~empty].ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(nodes(*bag, n)), lists], names=["id", "node", "bands"])
 
-    return docs.mapInArrow(run, "id bigint, node bigint, bands array<bigint>")
+    return docs.mapInArrow(tidied(run), "id bigint, node bigint, bands array<bigint>")
 
 
 def multisets(docs: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def multisets(docs: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(right)
                 yield pa.RecordBatch.from_arrays([pa.array(wanted[lo:hi][rows]), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in rows], pa.binary())], names=["node", "bag"])
 
-    return docs.mapInArrow(run, "node bigint, bag binary")
+    return docs.mapInArrow(tidied(run), "node bigint, bag binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -200,7 +201,7 @@ def verify(pairs: DataFrame, bags_of: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array([similarity(x[i].as_py(), y[i].as_py()) >= threshold for i in range(b.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return two.mapInArrow(run, "a bigint, b bigint")
+    return two.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, small: int = 12, scratch: Scratch | None = None) -> DataFrame:
@@ -252,21 +253,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             component = scratch.put(new.select("node", F.coalesce("to", "root").alias("root")), f"component-{k}")
         return n
 
-    star = members.where("node != leader")
-    round_of(star.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    round_of(crossing(star.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
+    # Each pair once, however many bands the two share.
+    star = scratch.put(members.where("node != leader").select("node", "leader").distinct(), "star")
+    round_of(star.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     few = members.where(F.col("n") <= small)
     other = few.select("key", F.col("node").alias("a"))
-    round_of(crossing(few.select("key", F.col("node").alias("b")).join(other, "key").where("a < b").select("a", "b").distinct()))
-    many, idle, turn = members.where(F.col("n") > small), 0, 0
-    while idle < 2:
+    inner = few.select("key", F.col("node").alias("b")).join(other, "key").where("a < b").select("a", "b").distinct()
+    round_of(crossing(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(inner)))
+    # Members of larger buckets meet again in finer ones, of two bands each: there hardly any
+    # text meets another that isn't its near-duplicate, so leaders bring nearly all links.
+    wide = members.where(F.col("n") > small).select("node").distinct()
+    two = [F.xxhash64(F.col("bands")[i], F.col("bands")[(i + k) % BANDS], F.lit(i), F.lit(k)) for i in range(BANDS) for k in (1, 2)]
+    fine = signed.join(maybe_broadcast(wide), "node", "left_semi").select("node", F.explode(F.array(*two)).alias("key")).distinct()
+    heads = fine.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    fine = scratch.put(fine.join(scratch.put(heads, "heads"), "key"), "fine")
+    mates = fine.where(F.col("n") <= small).select("key", F.col("node").alias("a"))
+    inner = fine.where(F.col("n") <= small).select("key", F.col("node").alias("b")).join(mates, "key").where("a < b").select("a", "b").distinct()
+    round_of(crossing(fine.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().unionByName(inner).distinct()))
+    many, turn, found = fine.where(F.col("n") > small), 0, 1
+    while found > 0:
         turn += 1
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"))
-        lead = many.groupBy("key").agg(F.min(order).alias("best")).select("key", F.col("best.node").alias("a"))
+        best = [F.min(F.struct(F.xxhash64("node", F.lit(3 * turn + i)).alias("h"), F.col("node"))).alias(f"l{i}") for i in range(3)]
+        lead = many.groupBy("key").agg(*best).select("key", F.explode(F.array_distinct(F.array("l0.node", "l1.node", "l2.node"))).alias("a"))
+        lead = scratch.put(lead, f"lead-{turn}")
         found = round_of(crossing(many.select("key", F.col("node").alias("b")).join(lead, "key").where("a != b").select("a", "b").distinct()))
-        if found < 0:
-            break
-        idle = 0 if found else idle + 1
 
     rows = signed.select("id", "node").join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = scratch.put(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")

@@ -73,6 +73,30 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+# ---------------------------------------------------------------- workers
+
+
+def tidied(run):
+    """A function over batches that gives freed memory back to the system when its task ends:
+    workers live on, and what they keep would add up over the stages of a job."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- text kernels
 
 _U = np.uint64

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _VALUE, chunks, mix, powers, text_of, words
+from .common import _BASE, _INVERSE, _VALUE, chunks, mix, powers, text_of, words, tidied
 
 _U = np.uint64
 WIDE, SKETCH = 16, 256
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_form(vectors(b.column(1))), pa.string())], names=["id", "fingerprint"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fingerprint string")
+    return source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, fingerprint string")
 
 
 def _edited(text: str, following: str) -> str:
@@ -154,7 +154,7 @@ def with_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 rows = pa.array(again)
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(again), np.int32)), b.column(0).take(rows), b.column(1).take(rows)], names=["bucket", "after", "id", "text"])
 
-    placed = source.mapInArrow(dealt, "bucket int, after int, id bigint, text string").repartition(n, "bucket").sortWithinPartitions("bucket", "after", "id", "text")
+    placed = source.mapInArrow(tidied(dealt), "bucket int, after int, id bigint, text string").repartition(n, "bucket").sortWithinPartitions("bucket", "after", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -179,5 +179,5 @@ def with_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 names=names,
             )
 
-    out = placed.mapInArrow(run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = placed.mapInArrow(tidied(run), "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("id", F.when(F.col("id") == -(2**63), None).otherwise(F.col("id")))

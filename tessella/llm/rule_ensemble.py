@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, _VALUE, chunks, mix, powers, text_of, words, _BASE, _INVERSE
+from .common import _SPACE, _VALUE, chunks, mix, powers, text_of, words, _BASE, _INVERSE, tidied
 
 _U = np.uint64
 _SYMBOLS = "!%$#&*|.,"
@@ -112,7 +112,7 @@ def with_statistics(df: DataFrame, keep: list[str], text_column: str = "text") -
                 x = statistics(data, offs)
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:n]], *[pa.array(x[:, i].copy()) for i in range(x.shape[1])]], names=[*keep, *STATISTICS])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:n], *[T.StructField(s, T.DoubleType()) for s in STATISTICS]]))
+    return source.mapInArrow(tidied(run), T.StructType([*source.schema.fields[:n], *[T.StructField(s, T.DoubleType()) for s in STATISTICS]]))
 
 
 @dataclass

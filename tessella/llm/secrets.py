@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidied
 
 KINDS = ("assign", "access", "hex", "github", "npm", "pem")
 BASE = KINDS[:3]
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["id", "spans"])
 
     of = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {of}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return source.mapInArrow(tidied(run), f"id {of}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -154,7 +154,7 @@ def redact(docs: DataFrame, text_column: str = "text", size_column: str | None =
             columns[where] = pa.array([clean(t) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     if size_column in names:
         out = out.withColumn(size_column, F.char_length(F.col(text_column)).cast(docs.schema[size_column].dataType))
     return out.select(*names)

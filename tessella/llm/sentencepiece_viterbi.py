@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_of
+from .common import chunks, text_of, tidied
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself (no text holds a lone surrogate).
@@ -35,7 +35,7 @@ LITERAL = "\udc81"
 #: Where the vocabulary lies by default; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stretches whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Vocabulary:
@@ -292,9 +292,10 @@ def encode_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 texts = b.column(1).slice(lo, hi - lo).to_pylist()
                 coded = encode_many(texts, v)
                 yield made(b.column(0).slice(lo, hi - lo), [x for x, _ in coded], list(map(len, texts)), [x for _, x in coded])
+        v.cache.clear()
 
     of = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {of}, n_chars bigint, n_ids bigint, ids array<int>, exact boolean")
+    return source.mapInArrow(tidied(run), f"id {of}, n_chars bigint, n_ids bigint, ids array<int>, exact boolean")
 
 
 def decode_ids(encoded: DataFrame, id_column: str = "id", ids_column: str = "ids", model_file: str = MODEL) -> DataFrame:
@@ -308,4 +309,4 @@ def decode_ids(encoded: DataFrame, id_column: str = "id", ids_column: str = "ids
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     of = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {of}, text string")
+    return source.mapInArrow(tidied(run), f"id {of}, text string")

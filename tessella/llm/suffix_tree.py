@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, text_of, words
+from .common import Scratch, chunks, mix, text_of, words, tidied
 
 END = np.uint64(0xE0D0_0000_0000_0001)
 #: Distinct keys a counting task holds before it passes them on.
@@ -112,7 +112,7 @@ def _counted(docs: DataFrame, keys_of, text_column: str) -> DataFrame:
             held[:] = [merged()]
             yield from out()
 
-    return docs.select(text_column).mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
+    return docs.select(text_column).mapInArrow(tidied(run), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -311,7 +311,7 @@ def score(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_col
                 rows = 0
         yield from out()
 
-    asked = dealt.select("text", "block").mapInArrow(vocabulary, "block int, k bigint").distinct()
+    asked = dealt.select("text", "block").mapInArrow(tidied(vocabulary), "block int, k bigint").distinct()
     known = asked.join(counts, "k").select("block", "k", "c")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 # Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -187,7 +187,7 @@ def write(records: DataFrame, folder: str, key_column: str = "page_id", url_colu
             writer.close()
             yield index()
 
-    return scratch.put(joined.select("key", "url", "payload", "first").mapInArrow(run, INDEX), "index")
+    return scratch.put(joined.select("key", "url", "payload", "first").mapInArrow(tidied(run), INDEX), "index")
 
 
 _ROWS = "key bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
@@ -221,7 +221,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     bundles = index.groupBy("bundle").count().select("bundle")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return bundles.repartition(n, "bundle").mapInArrow(run, _ROWS)
+    return bundles.repartition(n, "bundle").mapInArrow(tidied(run), _ROWS)
 
 
 def lookup(index: DataFrame, keys: DataFrame, key_column: str = "key") -> DataFrame:
@@ -246,7 +246,7 @@ def lookup(index: DataFrame, keys: DataFrame, key_column: str = "key") -> DataFr
                 rows.append(_row(headers, block))
             yield _arrow(rows)
 
-    return wanted.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, _ROWS)
+    return wanted.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(tidied(run), _ROWS)
 
 
 def folder_for(spark: SparkSession, scratch: Scratch) -> str:

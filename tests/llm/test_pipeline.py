@@ -1,0 +1,27 @@
+"""The pipeline's stages against brute force on the small tables."""
+
+import corpus_pipeline
+from tessella.llm import queries
+from tessella.llm import secrets
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "sentencepiece"]
+    ids = [r.doc_id for r in out]
+    assert len(set(ids)) == len(ids) and 0.5 * n < len(ids) < n and all(r.exact for r in out)
+    judged = {r.doc_id: r.predicted for r in queries.op7_rule_ensemble(spark, sf).collect()}
+    assert all(judged[i] == 1 for i in ids)
+    assert not {r.doc_id for r in queries.op4_decontaminate(spark, sf).collect()} & set(ids)
+    redacted = secrets.redact(docs)
+    assert redacted.columns == columns and redacted.where("n_chars != char_length(text)").count() == 0
+    assert not any(secrets.find(r.text) for r in redacted.collect())
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as e
+
+    names = list(e.queries())
+    assert all(any(q.startswith(f"op{i}_") for q in names) for i in range(1, 11)) and "pipeline" in names

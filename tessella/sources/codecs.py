@@ -437,7 +437,7 @@ REGISTRY = {
     "png": (b"\x89PNG", ("png",), png_decode, png_encode), "bmp": (b"BM", ("bmp",), bmp_decode, bmp_encode), "tiff": (b"II*\0", ("tif", "tiff"), tiff_decode, tiff_encode),
     "radiance": (b"#?", ("hdr",), radiance_decode, radiance_encode), "pfm": (b"PF", ("pfm",), pfm_decode, pfm_encode), "fits": (b"SIMPLE", ("fits", "fit"), fits_decode, fits_encode),
     "pnm": (b"P", ("pnm", "pbm", "pgm", "ppm"), pnm_decode, pnm_encode), "csv": (None, ("csv",), csv_decode, csv_encode), "matrix": (None, ("mat.txt", "matrix"), matrix_decode, matrix_encode),
-    "mat": (b"MATLAB", ("mat",), mat_decode, None), "nifti": (None, ("nii",), nifti_decode, nifti_encode), "native": (None, ("v", "vips"), native_decode, native_encode),
+    "mat": (b"MATLAB", ("mat",), mat_decode, None), "nifti": (None, ("nii",), nifti_decode, nifti_encode), "native": (None, ("v",), native_decode, native_encode),
 }
 
 

@@ -13,18 +13,21 @@ weighted (multiset) Jaccard similarity is at least `threshold`.
    a longer one, which changes no time found before.
 2. Bands. Texts with equal multisets are one node. Nodes that agree in all components of a
    band share a bucket. 24 bands of 4 find a pair of similarity 0.8 with probability 1 - 3e-6.
-3. Verification. In each bucket members are compared to a leader, never to all others:
-   first each node to one leader; then to the other leaders that are not yet in its
-   component, and buckets of at most `small` nodes compare all pairs of different components;
-   then members of larger buckets meet in finer ones of two bands, with three new leaders
-   a round until a round brings no link. The overlap
-   is computed on whole shingle multisets, as 32-bit hashes of (shingle, occurrence).
+3. Verification. First each node of a bucket is compared to one leader; then to the other
+   leaders that are not yet in its component, and buckets of at most `small` nodes compare all
+   pairs of different components. Larger buckets that still hold several components get two
+   rounds of new leaders, then an exact join of their nodes: bags ordered from rare to common
+   members meet at a member of their prefixes, and every pair of different components that a
+   prefix, the sizes or the places cannot prove to be below the threshold is compared. So of
+   the pairs that share a bucket none is left out. The overlap is computed on whole shingle
+   multisets, as 32-bit hashes of (shingle, occurrence).
 4. Classes are the connected components of the verified links.
 
 Defined cases: null and empty texts, and texts without words, are one class; repeated rows
 are in one class; null ids are kept as null; other columns are ignored; an empty table gives
 an empty result. Hot groups: equal texts fold into one node before any comparison, buckets
-are aggregates and joins that Spark can split, and no task gathers a bucket.
+are aggregates and joins that Spark can split, and no task gathers a bucket. Work grows with
+the square of a group only where its texts stay in many components and share rare shingles.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ _U = np.uint64
 WIDTH, BANDS, ROWS = 5, 24, 4
 _C = mix(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | _U(1)
 _NULL = -(2**63)
+#: Slots for the members' frequencies; nodes of a token that meet at a time.
+RANK_BITS, BLOCK = 18, 1000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +209,67 @@ def verify(pairs: DataFrame, bags_of: DataFrame, threshold: float) -> DataFrame:
     return two.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
+def ranks(bags_of: DataFrame) -> np.ndarray:
+    """How many members of the bags fall in each of 2^RANK_BITS slots of the hash: 2 MB at any
+    size of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RANK_BITS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(total, np.frombuffer(x.as_py(), "<u4") >> (32 - RANK_BITS), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "c"])
+
+    t = bags_of.select("bag").mapInArrow(tidied(run), "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(1 << RANK_BITS, np.int64)
+    out[t.column("slot").to_numpy()] = t.column("c").to_numpy()
+    return out
+
+
+def prefixes(bags_of: DataFrame, threshold: float) -> DataFrame:
+    """(node, size, at, token): of each bag, in the order of rare to common members, the first
+    |bag| - ceil(threshold * |bag|) + 1. Any order that all bags share is valid: two bags of
+    similarity `threshold` have a member in common there."""
+    held = bags_of.sparkSession.sparkContext.broadcast(ranks(bags_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0).to_numpy()
+            for i in range(b.num_rows):
+                x = np.frombuffer(b.column(1)[i].as_py(), "<u4")
+                if not len(x):
+                    continue
+                x = x[np.lexsort((x, held.value[x >> (32 - RANK_BITS)]))]
+                k = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+                k = min(max(k, 1), len(x))
+                columns = [np.full(k, node[i]), np.full(k, len(x)), np.arange(k), x[:k].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "size", "at", "token"])
+
+    return bags_of.select("node", "bag").mapInArrow(tidied(run), "node bigint, size bigint, at bigint, token bigint")
+
+
+def candidates(bags_of: DataFrame, component: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes of different components: all but such whose similarity is provably
+    below `threshold` (no member of the prefixes in common, or too few members after it)."""
+    said = scratch.put(prefixes(bags_of, threshold).join(component, "node"), "prefixes")
+    # Of each token the greatest component needs no pairs of its own; the others meet all.
+    per = said.groupBy("token", "root").agg(F.count("*").alias("c"))
+    main = per.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
+    main = scratch.put(main.select("token", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "main")
+    said = said.join(main, "token")
+    # Long lists meet block by block, so that no task holds a token's pairs.
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    every = F.explode(F.expr("sequence(0L, parts - 1L)"))
+    x = said.where("root != main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "root", "main")], part.alias("i"), every.alias("j"))
+    y = said.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")], part.alias("j"), every.alias("i"))
+    both = x.join(y, ["token", "i", "j"]).where("root_a != root_b and (root_b = main_a or node_a < node_b)")
+    least = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    both = both.where(F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least)
+    both = both.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, small: int = 12, scratch: Scratch | None = None) -> DataFrame:
     """Rows (id, node, class_id), one per row of docs. class_id is the least id of the
     row's class; node tells which texts have equal multisets."""
@@ -260,23 +326,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     other = few.select("key", F.col("node").alias("a"))
     inner = few.select("key", F.col("node").alias("b")).join(other, "key").where("a < b").select("a", "b").distinct()
     round_of(crossing(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(inner)))
-    # Members of larger buckets meet again in finer ones, of two bands each: there hardly any
-    # text meets another that isn't its near-duplicate, so leaders bring nearly all links.
-    wide = members.where(F.col("n") > small).select("node").distinct()
-    two = [F.xxhash64(F.col("bands")[i], F.col("bands")[(i + k) % BANDS], F.lit(i), F.lit(k)) for i in range(BANDS) for k in (1, 2)]
-    fine = signed.join(maybe_broadcast(wide), "node", "left_semi").select("node", F.explode(F.array(*two)).alias("key")).distinct()
-    heads = fine.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    fine = scratch.put(fine.join(scratch.put(heads, "heads"), "key"), "fine")
-    mates = fine.where(F.col("n") <= small).select("key", F.col("node").alias("a"))
-    inner = fine.where(F.col("n") <= small).select("key", F.col("node").alias("b")).join(mates, "key").where("a < b").select("a", "b").distinct()
-    round_of(crossing(fine.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().unionByName(inner).distinct()))
-    many, turn, found = fine.where(F.col("n") > small), 0, 1
-    while found > 0:
-        turn += 1
+    # Larger buckets whose members are of several components: first two rounds of new leaders,
+    # which only save pairs, then an exact join of the members.
+    large = members.where(F.col("n") > small).select("key", "node")
+    for turn in range(1, 4):
+        wide = large.join(component, "node")
+        mixed = wide.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        wide = scratch.put(wide.join(mixed, "key", "left_semi").select("key", "node"), f"wide-{turn}")
+        if turn == 3 or not wide.limit(1).count():
+            break
         best = [F.min(F.struct(F.xxhash64("node", F.lit(3 * turn + i)).alias("h"), F.col("node"))).alias(f"l{i}") for i in range(3)]
-        lead = many.groupBy("key").agg(*best).select("key", F.explode(F.array_distinct(F.array("l0.node", "l1.node", "l2.node"))).alias("a"))
+        lead = wide.groupBy("key").agg(*best).select("key", F.explode(F.array_distinct(F.array("l0.node", "l1.node", "l2.node"))).alias("a"))
         lead = scratch.put(lead, f"lead-{turn}")
-        found = round_of(crossing(many.select("key", F.col("node").alias("b")).join(lead, "key").where("a != b").select("a", "b").distinct()))
+        round_of(crossing(wide.select("key", F.col("node").alias("b")).join(lead, "key").where("a != b").select("a", "b").distinct()))
+    wide = wide.select("node").distinct()
+    if wide.limit(1).count():
+        round_of(crossing(candidates(scratch.put(bags_of.join(wide, "node", "left_semi"), "wide-bags"), component, threshold, scratch)))
 
     rows = signed.select("id", "node").join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = scratch.put(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, chunks, connected, maybe_broadcast, mix, text_of, uniform, words, tidied
+from .common import BROADCAST_ROWS, ROW, Scratch, chunks, connected, maybe_broadcast, mix, numbered, text_of, uniform, words, tidied
 
 _U = np.uint64
 WIDTH, BANDS, ROWS = 5, 24, 4
@@ -350,20 +350,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
-    """The rows of docs without all but one document of each class: that of the least id.
-    Rows of one id count as one document; of them the one that sorts first stays."""
+    """The rows of docs without all but one row of each class: that of the least id, null
+    before others, among equal ids that of the least node. Rows count by themselves: equal or
+    null ids don't join rows of different texts."""
     scratch = parameters.setdefault("scratch", Scratch(docs.sparkSession, "keep-one"))
-    found = near_duplicates(docs, id_column, text_column, **parameters)
-    found = scratch.put(found, "found")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.coalesce("id", F.lit(_NULL)).alias("__id")).distinct()
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(_NULL))
-    left = docs.join(maybe_broadcast(gone), key == F.col("__id"), "left_anti")
-    again = found.groupBy("id").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1")
-    again = scratch.put(again.select(F.coalesce("id", F.lit(_NULL)).alias("__id")), "again")
-    n = again.count()
-    if not n:
-        return left
-    once = left.join(maybe_broadcast(again, n), key == F.col("__id"), "left_anti")
-    several = left.join(maybe_broadcast(again, n), key == F.col("__id"), "left_semi").withColumn("__id", key)
-    # A hot id's equal rows fold in each task before they meet.
-    return once.unionByName(several.dropDuplicates().groupBy("__id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*"))
+    rows = numbered(docs, scratch)
+    found = scratch.put(near_duplicates(rows, ROW, text_column, **parameters), "found")
+    several = found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    several = scratch.put(found.join(several, "class_id", "left_semi").withColumnRenamed("id", ROW), "several")
+    place = F.struct("__id", "node", ROW)
+    of = several.join(rows.select(ROW, F.col(id_column).cast("long").alias("__id")), ROW)
+    stay = of.groupBy("class_id").agg(F.min(place).getField(ROW).alias(ROW))
+    gone = scratch.put(several.join(stay, [ROW], "left_anti").select(ROW), "gone")
+    return rows.join(maybe_broadcast(gone), ROW, "left_anti").select(*docs.columns)

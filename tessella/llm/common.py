@@ -68,6 +68,15 @@ def text_of(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+#: The column of a row's number in `numbered` tables.
+ROW = "__row_number"
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a number for each row, written once so that each reading gives the same."""
+    return scratch.put(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -29,7 +29,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast
+from .common import ROW, Scratch, maybe_broadcast, numbered
 
 RUN, WINDOW, OFFSETS = 3, 12, (3, 6, 9)
 
@@ -113,8 +113,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
-    """The rows of docs whose id has no item found in it."""
-    found = find(docs, benchmark, id_column, text_column, **parameters)
+    """The rows of docs in whose text no item is found, row by row: equal or null ids don't
+    make other rows go."""
     scratch = Scratch(docs.sparkSession, "contaminated")
-    gone = scratch.put(found.select(F.col("id").alias("__gone")).distinct(), "ids")
-    return docs.join(maybe_broadcast(gone), F.col(id_column).eqNullSafe(F.col("__gone")), "left_anti")
+    rows = numbered(docs, scratch)
+    found = find(rows, benchmark, ROW, text_column, **parameters)
+    gone = scratch.put(found.select(F.col("id").alias(ROW)).distinct(), "rows")
+    return rows.join(maybe_broadcast(gone), ROW, "left_anti").select(*docs.columns)

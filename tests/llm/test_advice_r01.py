@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.llm import bag_minhash
+from tessella.llm import bag_minhash, decontaminate
 from tessella.llm.common import Scratch
 
 
@@ -31,3 +31,15 @@ def test_prefix_join_against_all_pairs(spark):
     got = {(r.a, r.b) for r in bag_minhash.candidates(table, component, 0.8, Scratch(spark, "test")).collect()}
     want = {(i, j) for j in range(len(bags)) for i in range(j) if i % 7 != j % 7 and bag_minhash.similarity(np.sort(bags[i]).tobytes(), np.sort(bags[j]).tobytes()) >= 0.8}
     assert want <= got and len(want) > 30
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    a, b, c, d = (" ".join(unique(100, t)) for t in "abcd")
+    near = b.replace("bx50", "other")
+    rows = [(8, a), (8, b), (9, near), (None, c), (None, d), (None, c), (8, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in bag_minhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(8, a), (8, b), (None, c), (None, d)], key=str)
+    bench = spark.createDataFrame([(1, " ".join(unique(30, "b"))), (2, " ".join(unique(30, "d")))], "item_id long, text string")
+    clean = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, bench).collect()]
+    assert sorted(clean, key=str) == sorted([(8, a), (None, c), (None, c), (8, a)], key=str)

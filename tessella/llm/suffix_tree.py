@@ -132,6 +132,7 @@ class Tree:
     symbols: np.ndarray  # sorted hashes of the numbered (frequent) symbols
     shares: np.ndarray  # their root probabilities
     levels: list[Level]
+    ends: int = 0  # end symbols, one per training text; no floor applies
 
     def root(self, c: np.ndarray) -> np.ndarray:
         return (c + 1.0) / (self.total + self.distinct + 1.0)
@@ -203,11 +204,12 @@ def learn(train: DataFrame, counts: DataFrame, text_column: str = "text", contex
     spark = train.sparkSession
     said = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(said[0] or 0), int(said[1])
+    ends = counts.where(F.col("k") == int(END.view(np.int64))).agg(F.sum("c")).first()[0]
     floor = max(4, math.ceil(symbol_share * total))
     k, c = _collected(counts.where(F.col("c") >= floor))  # at most 1/symbol_share rows
     order = np.argsort(k.view(np.uint64))
     symbols, sizes = k.view(np.uint64)[order], c[order]
-    tree = Tree(total, distinct, symbols, (sizes + 1.0) / (total + distinct + 1.0), [])
+    tree = Tree(total, distinct, symbols, (sizes + 1.0) / (total + distinct + 1.0), [], int(ends or 0))
     if not len(symbols):
         return tree
     need = max(floor, math.ceil(context_share * total))
@@ -319,14 +321,12 @@ def score(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_col
         k = right.column("k").to_numpy().view(np.uint64)
         order = np.argsort(k)
         k, c = k[order], right.column("c").to_numpy()[order]
-        ends_seen = find_in(tree.symbols, np.array([END]))[0]
-        n_end = round(tree.shares[ends_seen] * (tree.total + tree.distinct + 1) - 1) if ends_seen >= 0 else 0
         out: list[list[np.ndarray]] = [[], [], [], []]
         for _, _, data, offs in chunks(left.column("text")):
             h, ends = stream(data, offs)
             at = find_in(k, h)
             n = np.where(at >= 0, c[at] if len(c) else 0, 0)
-            n[ends - 1] = n_end
+            n[ends - 1] = tree.ends
             root = tree.root(n)
             p = tree.probabilities(h, ends, root)
             first = np.concatenate([[0], ends[:-1]])

@@ -12,26 +12,32 @@ weighted (multiset) Jaccard similarity is at least `threshold`.
    signature almost surely are generated; a text with an empty component is done again with
    a longer one, which changes no time found before.
 2. Bands. Texts with equal multisets are one node. Nodes that agree in all components of a
-   band share a bucket. 24 bands of 4 find a pair of similarity 0.8 with probability 1 - 3e-6.
-3. Verification. First each node of a bucket is compared to one leader; then to the other
-   leaders that are not yet in its component, and buckets of at most `small` nodes compare all
-   pairs of different components. Larger buckets that still hold several components get two
-   rounds of new leaders, then an exact join of their nodes: bags ordered from rare to common
-   members meet at a member of their prefixes, and every pair of different components that a
-   prefix, the sizes or the places cannot prove to be below the threshold is compared. So of
-   the pairs that share a bucket none is left out. The overlap is computed on whole shingle
-   multisets, as 32-bit hashes of (shingle, occurrence).
+   band share a bucket. Rows of a band and the number of bands follow from the threshold
+   (`banding`; 24 bands of 4 at 0.8, where a pair of similarity 0.8 is missed with a chance of 3e-6).
+3. Verification. Each node of a bucket is compared to the bucket's least node; the links make
+   components. Nodes of buckets that still hold several components are then joined exactly:
+   bags ordered from rare to common members meet at a member of their prefixes, and every
+   pair of different components that neither prefix, sizes, places nor parity bits prove to be
+   below the threshold is compared. So of the pairs that share a bucket none is left out. The
+   overlap is computed on whole shingle multisets, as 32-bit hashes of (shingle, occurrence).
 4. Classes are the connected components of the verified links.
 
+Parity bits: each bag has 512 bits, a bit being the parity of how many members hash to it. The
+bits in which two bags differ number at most the members in which they differ, so a pair with
+too many is below the threshold, with certainty.
+
 Defined cases: null and empty texts, and texts without words, are one class; repeated rows
 are in one class; null ids are kept as null; other columns are ignored; an empty table gives
 an empty result. Hot groups: equal texts fold into one node before any comparison, buckets
 are aggregates and joins that Spark can split, and no task gathers a bucket. Work grows with
-the square of a group only where its texts stay in many components and share rare shingles.
+the square of a group only where its texts stay in many components and share rare shingles;
+their pairs are met in the join and fall by its condition, they are not written.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +45,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ROW, Scratch, chunks, connected, maybe_broadcast, mix, numbered, text_of, uniform, words, tidied
+from .common import ROW, Scratch, chunks, connected, maybe_broadcast, mix, numbered, text_of, tidied, uniform, words
 
 _U = np.uint64
-WIDTH, BANDS, ROWS = 5, 24, 4
+WIDTH = 5
 _C = mix(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | _U(1)
 _NULL = -(2**63)
-#: Slots for the members' frequencies; nodes of a token that meet at a time.
-RANK_BITS, BLOCK = 18, 1000
+#: Slots for the members' frequencies; nodes of a token that meet at a time; 64-bit words of parity bits.
+RANK_BITS, BLOCK, PARITY = 18, 1000, 8
+#: The chance that a pair exactly at the threshold shares no band.
+MISS = 4e-6
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): a band is shared with a chance of about 0.41 at the threshold."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    rows = 16 if threshold > 0.95 else max(1, round(math.log(0.41) / math.log(threshold)))
+    share = min(threshold**rows, 1 - 1e-9)
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - share) - 0.5)), rows
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +96,7 @@ def bags(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return (key[first] >> _U(44)).astype(np.int64), key[first] & _U((1 << 44) - 1), np.diff(np.append(first, len(key)))
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
+def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
     """Earliest times, n x m; infinite for texts without shingles."""
     out = np.full(n * m, np.inf)
     total = np.bincount(doc, weight, n)
@@ -114,14 +131,14 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return out.reshape(n, m)
 
 
-def band_keys(times: np.ndarray) -> np.ndarray:
-    """n x BANDS keys of the signature's bands."""
+def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """n x bands keys of the signature's bands."""
     bits = mix(np.ascontiguousarray(times).view(np.uint64))
     with np.errstate(over="ignore"):
-        k = np.zeros((len(times), BANDS), np.uint64)
-        for r in range(ROWS):
-            k = mix(k + bits[:, r::ROWS][:, :BANDS] * _U(2 * r + 3))
-        return mix(k + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
+        k = np.zeros((len(times), bands), np.uint64)
+        for r in range(rows):
+            k = mix(k + bits[:, r::rows][:, :bands] * _U(2 * r + 3))
+        return mix(k + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
 
 
 def _expanded(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +158,18 @@ def nodes(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> n
     return out.view(np.int64)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, threshold: float) -> DataFrame:
     """(id, node, bands) of rows (id, text)."""
+    bands, rows = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in chunks(b.column(1)):
                 n = hi - lo
                 bag = bags(*shingles(data, offs))
-                keys = band_keys(signatures(*bag, n))
+                keys = band_keys(signatures(*bag, n, bands * rows), bands, rows)
                 empty = np.bincount(bag[0], minlength=n) == 0
-                sizes = np.where(empty, 0, BANDS)
+                sizes = np.where(empty, 0, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[~empty].ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(nodes(*bag, n)), lists], names=["id", "node", "bands"])
 
@@ -184,8 +202,6 @@ def similarity(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     if not len(x) and not len(y):
         return 1.0
-    if 5 * min(len(x), len(y)) < 2 * max(len(x), len(y)):
-        return min(len(x), len(y)) / max(len(x), len(y))  # a bound; too small to be a link
     both = np.sort(np.concatenate([x, y]), kind="stable")
     common = np.count_nonzero(both[1:] == both[:-1])
     return common / (len(x) + len(y) - common)
@@ -193,22 +209,28 @@ def similarity(a: bytes, b: bytes) -> float:
 
 def verify(pairs: DataFrame, bags_of: DataFrame, threshold: float) -> DataFrame:
     """The links among pairs (a, b)."""
-    n = pairs.count()
-    left = maybe_broadcast(pairs, n) if n <= BROADCAST_ROWS // 50 else pairs
-    one = left.join(bags_of.withColumnRenamed("node", "b").withColumnRenamed("bag", "bag_b"), "b")
-    if n <= BROADCAST_ROWS // 1000:
-        one = F.broadcast(one)
+    one = pairs.join(bags_of.withColumnRenamed("node", "b").withColumnRenamed("bag", "bag_b"), "b")
     two = one.join(bags_of.withColumnRenamed("node", "a").withColumnRenamed("bag", "bag_a"), "a").select("a", "b", "bag_a", "bag_b")
 
+    def linked(x: bytes, y: bytes) -> bool:
+        # Sizes that differ too much exclude the threshold.
+        return min(len(x), len(y)) >= (threshold - 1e-9) * max(len(x), len(y)) and similarity(x, y) >= threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column(2), b.column(3)
-            keep = pa.array([similarity(x[i].as_py(), y[i].as_py()) >= threshold for i in range(b.num_rows)], pa.bool_())
+            keep = pa.array([linked(x[i].as_py(), y[i].as_py()) for i in range(b.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     return two.mapInArrow(tidied(run), "a bigint, b bigint")
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """PARITY 64-bit words: of each bit the parity of the members that hash to it."""
+    at = (mix(x.astype(np.uint64) + _U(0x5851F42D4C957F2D)) >> _U(40)) & _U(64 * PARITY - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).view("<i8")
+
+
 def ranks(bags_of: DataFrame) -> np.ndarray:
     """How many members of the bags fall in each of 2^RANK_BITS slots of the hash: 2 MB at any
     size of the input."""
@@ -228,123 +250,101 @@ def ranks(bags_of: DataFrame) -> np.ndarray:
 
 
 def prefixes(bags_of: DataFrame, threshold: float) -> DataFrame:
-    """(node, size, at, token): of each bag, in the order of rare to common members, the first
-    |bag| - ceil(threshold * |bag|) + 1. Any order that all bags share is valid: two bags of
-    similarity `threshold` have a member in common there."""
+    """(node, size, p0, p1, ..., tokens): of each bag its size, its parity words and, in the
+    order of rare to common members, the first |bag| - ceil(threshold * |bag|) + 1. Any order
+    that all bags share is valid: two bags of similarity `threshold` have a member in common there."""
     held = bags_of.sparkSession.sparkContext.broadcast(ranks(bags_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = b.column(0).to_numpy()
+            node, sizes, words_, tokens = b.column(0), [], [], []
             for i in range(b.num_rows):
                 x = np.frombuffer(b.column(1)[i].as_py(), "<u4")
-                if not len(x):
-                    continue
                 x = x[np.lexsort((x, held.value[x >> (32 - RANK_BITS)]))]
                 k = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
-                k = min(max(k, 1), len(x))
-                columns = [np.full(k, node[i]), np.full(k, len(x)), np.arange(k), x[:k].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "size", "at", "token"])
+                sizes.append(len(x))
+                words_.append(parity(x))
+                tokens.append(x[: min(max(k, 0), len(x))].astype(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            marks = np.array(words_, np.int64).reshape(b.num_rows, PARITY)
+            yield pa.RecordBatch.from_arrays(
+                [node, pa.array(sizes, pa.int64()), *[pa.array(marks[:, i].copy()) for i in range(PARITY)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["node", "size", *[f"p{i}" for i in range(PARITY)], "tokens"],
+            )
 
-    return bags_of.select("node", "bag").mapInArrow(tidied(run), "node bigint, size bigint, at bigint, token bigint")
+    marks = ", ".join(f"p{i} bigint" for i in range(PARITY))
+    return bags_of.select("node", "bag").mapInArrow(tidied(run), f"node bigint, size bigint, {marks}, tokens array<bigint>")
 
 
 def candidates(bags_of: DataFrame, component: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes of different components: all but such whose similarity is provably
-    below `threshold` (no member of the prefixes in common, or too few members after it)."""
-    said = scratch.put(prefixes(bags_of, threshold).join(component, "node"), "prefixes")
-    # Of each token the greatest component needs no pairs of its own; the others meet all.
-    per = said.groupBy("token", "root").agg(F.count("*").alias("c"))
+    below `threshold` (no member of the prefixes in common, or too few after it, sizes or parity
+    bits that differ too much)."""
+    marks = [f"p{i}" for i in range(PARITY)]
+    rows = scratch.put(prefixes(bags_of, threshold).join(component, "node"), "prefixes")
+    said = rows.select("node", "size", "root", *marks, F.posexplode("tokens").alias("at", "token"))
+    # Of each token the greatest component needs no pairs of its own; the others meet all. A
+    # token that a single component holds needs none at all.
+    per = rows.select("root", F.explode("tokens").alias("token")).groupBy("token", "root").agg(F.count("*").alias("c"))
     main = per.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
     main = scratch.put(main.select("token", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "main")
-    said = said.join(main, "token")
+    said = said.join(maybe_broadcast(main), "token")
     # Long lists meet block by block, so that no task holds a token's pairs.
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     every = F.explode(F.expr("sequence(0L, parts - 1L)"))
-    x = said.where("root != main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "root", "main")], part.alias("i"), every.alias("j"))
-    y = said.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")], part.alias("j"), every.alias("i"))
-    both = x.join(y, ["token", "i", "j"]).where("root_a != root_b and (root_b = main_a or node_a < node_b)")
-    least = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    both = both.where(F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least)
-    both = both.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9)
+    of = ("node", "size", "at", "root", *marks)
+    x = said.where("root != main").select(*[F.col(c).alias(f"{c}_a") for c in ("token", *of, "main")], part.alias("i_a"), every.alias("j_a"))
+    y = said.select(*[F.col(c).alias(f"{c}_b") for c in ("token", *of)], part.alias("j_b"), every.alias("i_b"))
+    total = F.col("size_a") + F.col("size_b")
+    differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in marks), F.lit(0))
+    least = threshold / (1 + threshold) * total - 1e-9
+    meet = [F.expr(f"{c}_a = {c}_b") for c in ("token", "i", "j")]
+    meet += [F.expr("root_a != root_b and (root_b = main_a or node_a < node_b)")]
+    meet += [F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9]
+    meet += [F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least, differ <= total * ((1 - threshold) / (1 + threshold)) + 1e-9]
+    both = x.join(y, functools.reduce(lambda p, q: p & q, meet))
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, small: int = 12, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """Rows (id, node, class_id), one per row of docs. class_id is the least id of the
     row's class; node tells which texts have equal multisets."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "bag-minhash")
     source = text_of(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NULL)).alias("id"), F.col(text_column).alias("text")))
-    signed = scratch.put(sign(source), "signed")
-    placed = signed.select("node", F.explode("bands").alias("key")).distinct()
-    leaders = placed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    leaders = scratch.put(leaders, "leaders")
-    members = scratch.put(placed.join(leaders, "key").where("node != leader or n > 1"), "members")
-    involved = members.select("node").distinct()
-    chosen = scratch.put(signed.join(involved, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "chosen")
+    signed = scratch.put(sign(source, threshold), "signed")
+    # Equal bands of equal nodes: one row for each, whatever its copies.
+    each = scratch.put(signed.groupBy("node").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")), "each")
+    placed = each.select("node", F.explode("bands").alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.put(buckets, "buckets")
+    # A bucket of two is a pair already; only larger ones are joined to their members.
+    twos = buckets.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    members = scratch.put(placed.join(maybe_broadcast(buckets.where("n > 2").select("key", F.col("first").alias("leader"))), "key"), "members")
+    star = scratch.put(twos.union(members.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))).distinct(), "star")
+    involved = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = scratch.put(each.join(involved, "node", "left_semi").select("node", "id"), "chosen")
     bags_of = multisets(source.join(maybe_broadcast(chosen), "id").select("id", "text", "node"))
     # Equal ids may give a node's multiset more than once.
     bags_of = scratch.put(bags_of, "bags")
     if bags_of.count() > chosen.count():
         bags_of = scratch.put(bags_of.dropDuplicates(["node"]), "bags-once")
 
-    component = scratch.put(chosen.select("node", F.col("node").alias("root")), "component-0")
-    tested = None
-    state = {"step": 0}
-
-    def crossing(pairs: DataFrame) -> DataFrame:
-        """Untested pairs (a, b) of nodes of different components."""
-        of_a = component.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-        of_b = component.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        out = pairs.join(of_b, "b").join(of_a, "a").where("root_a != root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return out.join(tested, ["a", "b"], "left_anti") if tested is not None else out
-
-    def round_of(pairs: DataFrame) -> int:
-        """Verify pairs and merge components; how many links were found."""
-        nonlocal component, tested
-        state["step"] += 1
-        k = state["step"]
-        pairs = scratch.put(pairs, f"pairs-{k}")
-        if not pairs.limit(1).count():
-            return -1
-        links = scratch.put(verify(pairs, bags_of, threshold), f"links-{k}")
-        tested = pairs if tested is None else tested.union(pairs)
-        n = links.count()
-        if n:
-            a = component.select(F.col("node").alias("a"), F.col("root").alias("x"))
-            b = component.select(F.col("node").alias("b"), F.col("root").alias("y"))
-            merged = connected(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, f"joined-{k}")
-            new = component.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            component = scratch.put(new.select("node", F.coalesce("to", "root").alias("root")), f"component-{k}")
-        return n
-
-    # Each pair once, however many bands the two share.
-    star = scratch.put(members.where("node != leader").select("node", "leader").distinct(), "star")
-    round_of(star.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    few = members.where(F.col("n") <= small)
-    other = few.select("key", F.col("node").alias("a"))
-    inner = few.select("key", F.col("node").alias("b")).join(other, "key").where("a < b").select("a", "b").distinct()
-    round_of(crossing(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(inner)))
-    # Larger buckets whose members are of several components: first two rounds of new leaders,
-    # which only save pairs, then an exact join of the members.
-    large = members.where(F.col("n") > small).select("key", "node")
-    for turn in range(1, 4):
-        wide = large.join(component, "node")
-        mixed = wide.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        wide = scratch.put(wide.join(mixed, "key", "left_semi").select("key", "node"), f"wide-{turn}")
-        if turn == 3 or not wide.limit(1).count():
-            break
-        best = [F.min(F.struct(F.xxhash64("node", F.lit(3 * turn + i)).alias("h"), F.col("node"))).alias(f"l{i}") for i in range(3)]
-        lead = wide.groupBy("key").agg(*best).select("key", F.explode(F.array_distinct(F.array("l0.node", "l1.node", "l2.node"))).alias("a"))
-        lead = scratch.put(lead, f"lead-{turn}")
-        round_of(crossing(wide.select("key", F.col("node").alias("b")).join(lead, "key").where("a != b").select("a", "b").distinct()))
-    wide = wide.select("node").distinct()
+    links = scratch.put(verify(star, bags_of, threshold), "links-star")
+    component = connected(links, scratch, "star-of")
+    rooted = members.select("node", "key").join(component, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = scratch.put(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    wide = scratch.put(rooted.join(maybe_broadcast(scratch.put(mixed, "mixed")), "key", "left_semi").select("node", "root").distinct(), "wide")
     if wide.limit(1).count():
-        round_of(crossing(candidates(scratch.put(bags_of.join(wide, "node", "left_semi"), "wide-bags"), component, threshold, scratch)))
+        wide_bags = scratch.put(bags_of.join(maybe_broadcast(wide.select("node")), "node", "left_semi"), "wide-bags")
+        pairs = scratch.put(candidates(wide_bags, wide, threshold, scratch).join(star, ["a", "b"], "left_anti"), "pairs")
+        more = scratch.put(verify(pairs, wide_bags, threshold), "links-more")
+        component = connected(links.union(more), scratch, "all-of")
 
     rows = signed.select("id", "node").join(component, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = scratch.put(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")
+    classes = scratch.put(rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("root", "class_id"), "classes")
     out = rows.join(classes, "root", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"))
     return out.select(*[F.when(F.col(c) == _NULL, None).otherwise(F.col(c)).alias(c) if c != "node" else F.col(c) for c in out.columns])
 

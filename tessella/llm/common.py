@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where
-    that is unset (tests, one machine) a temporary folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine
+    (master local) a temporary folder is made and set where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -213,34 +215,97 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- small tables
 
-#: Rows of a narrow table that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The table, broadcast if a count of its rows allows it."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+#: Bytes that a table may have in memory to be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 24_000_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The bytes of the rows in memory: 8 for a number and a row, and what texts and arrays hold."""
+    wide = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            wide.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16)
+        elif kind in ("array<bigint>", "array<double>", "array<int>"):
+            wide.append(8 * F.greatest(F.size(f.name), F.lit(0)) + 24)
+        elif kind.startswith(("array", "map", "struct")):
+            wide.append(F.octet_length(F.to_json(F.struct(f.name))) + 24)
+        else:
+            wide.append(F.lit(8))
+    each = sum((w.cast("long") for w in wide), F.lit(16).cast("long"))
+    return int(df.agg(F.sum(each)).first()[0] or 0)
+
+
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, broadcast if its measured bytes allow it. Results are the same either way."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
+
+
+def _forest(batches):
+    """Of the links (x, y) of a task, those that still tell which nodes belong together: each
+    node with the least node that it reaches inside the task. Bounded by TASK_LINKS links a time."""
+
+    def stars(x, y):
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = at[: len(x)], at[len(x) :]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = np.minimum(new, new[new])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        far = root != np.arange(len(nodes))
+        return nodes[far], nodes[root[far]]
+
+    held: list = []
+    size = 0
+
+    def out():
+        x, y = stars(*[np.concatenate(c) for c in zip(*held, strict=True)])
+        held.clear()
+        for i in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]), pa.array(y[i : i + 100_000])], names=["x", "y"])
+
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size >= TASK_LINKS:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
+
+
+#: Links that a task contracts at a time.
+TASK_LINKS = 2_000_000
 
 
 def connected(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(node, root): the least node of each node's component, for links (a, b). Labels
-    spread along links and through the labels' own labels, so few rounds are needed; every
-    round is a written table and nothing but a count reaches the driver."""
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = scratch.put(both.union(both.select("y", "x")).distinct(), f"{tag}-links")
+    """(node, root): the least node of each node's component, for links (a, b). Links are
+    contracted inside their tasks first; then labels spread along what is left and through
+    the labels' own labels, so few rounds are needed. Every round is a written table and
+    nothing but a count reaches the driver."""
+    few = links.select(F.col("a").alias("x"), F.col("b").alias("y")).coalesce(max(1, links.sparkSession.sparkContext.defaultParallelism)).mapInArrow(tidied(_forest), "x bigint, y bigint")
+    few = scratch.put(few, f"{tag}-few")
+    both = few.union(few.select("y", "x")).distinct()
     label = scratch.put(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root")), f"{tag}-0")
     step = 0
     while True:
         step += 1
-        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("seen"))
-        moved = label.join(near, "node").select("node", F.least("root", "seen").alias("to"), F.col("root").alias("was"))
-        jump = label.select(F.col("node").alias("to"), F.col("root").alias("further"))
-        new = moved.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("root"), "was")
-        new = scratch.put(new, f"{tag}-{step}")
-        changed = new.where("root < was").limit(1).count()
-        scratch.drop(f"{tag}-{step - 1}")
-        label = new.select("node", "root")
-        if not changed:
-            scratch.drop(f"{tag}-links")
+        # Both ends of a link take the least label of the two, and a label its own label.
+        seen = few.join(label.withColumnRenamed("node", "x"), "x").select("x", "y", F.col("root").alias("rx")).join(label.withColumnRenamed("node", "y"), "y").select("x", "y", "rx", F.col("root").alias("ry"))
+        low = F.least("rx", "ry")
+        told = seen.where("rx != ry").select(F.explode(F.array(F.struct(F.col("rx").alias("node"), low.alias("to")), F.struct(F.col("ry").alias("node"), low.alias("to")))).alias("t")).select("t.node", "t.to")
+        told = scratch.put(told.groupBy("node").agg(F.min("to").alias("to")).where("to < node"), f"{tag}-told-{step}")
+        if not told.limit(1).count():
+            scratch.drop(f"{tag}-few", f"{tag}-told-{step}")
             return label
+        moved = label.join(told.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        further = told.select(F.col("node").alias("root"), F.col("to").alias("then"))
+        label = scratch.put(moved.join(further, "root", "left").select("node", F.coalesce("then", "root").alias("root")), f"{tag}-{step}")
+        scratch.drop(f"{tag}-{step - 1}", f"{tag}-told-{step}")

@@ -268,6 +268,62 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.012
 
 
+def edited_copies(n, seed, size=300, edits=(5, 9)):
+    """n texts and a copy of each with some words replaced."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        base = [f"t{i}x{k}" for k in rng.integers(0, 400, size)]
+        near = list(base)
+        for k in rng.choice(size, int(rng.integers(*edits)), replace=False):
+            near[k] = f"e{i}x{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.4, 0.95])
+def test_recall_near_the_threshold(spark, threshold):
+    """Pairs close above the threshold are found, those below it are not linked."""
+    rows = edited_copies(120, 3, edits={0.8: (4, 10), 0.4: (10, 40), 0.95: (1, 4)}[threshold])
+    of = dict(rows)
+    near = {i: jaccard(multiset(of[i]), multiset(of[i + 1])) for i in range(0, len(rows), 2)}
+    got = {r.id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    want = [i for i, s in near.items() if s >= threshold]
+    assert len(want) > 20 and sum(s < threshold for s in near.values()) > 10
+    assert sum(got[i] == got[i + 1] for i in want) >= 0.99 * len(want)
+    assert not any(got[i] == got[i + 1] for i, s in near.items() if s < threshold)
+
+
+def test_disjoint_bags_of_unlike_size_are_not_similar():
+    a, b = (np.arange(n, dtype="<u4") * np.uint32(2) + np.uint32(k) for n, k in ((35, 0), (100, 1)))
+    assert bag_minhash.similarity(a.tobytes(), b.tobytes()) == 0.0
+
+
+def test_large_buckets_of_many_components(spark):
+    """Groups of texts around one text: brute force over all pairs gives the same classes."""
+    rng, rows = np.random.default_rng(8), []
+    for g in range(3):
+        base = [f"g{g}x{k}" for k in range(150)]
+        for _ in range(70):
+            t = list(base)
+            for k in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+                t[k] = f"r{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    got = {r.id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bags, root = [multiset(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if i // 70 == j // 70 and find(i) != find(j) and jaccard(bags[i], bags[j]) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 10
+
+
 # ---------------------------------------------------------------- 7 rules
 
 

@@ -14,7 +14,8 @@ weighted (multiset) Jaccard similarity is at least `threshold`.
 2. Bands. Texts with equal multisets are one node. Nodes that agree in all components of a
    band share a bucket. Rows of a band and the number of bands follow from the threshold
    (`banding`; 24 bands of 4 at 0.8, where a pair of similarity 0.8 is missed with a chance of 3e-6).
-3. Verification. Each node of a bucket is compared to the bucket's least node; the links make
+3. Verification. Each node of a bucket is compared to the bucket's leader, the node that stands
+   in the largest buckets; the links make
    components. Nodes of buckets that still hold several components are then joined exactly:
    bags ordered from rare to common members meet at a member of their prefixes, and every
    pair of different components that neither prefix, sizes, places nor parity bits prove to be
@@ -321,7 +322,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = scratch.put(buckets, "buckets")
     # A bucket of two is a pair already; only larger ones are joined to their members.
     twos = buckets.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
-    members = scratch.put(placed.join(maybe_broadcast(buckets.where("n > 2").select("key", F.col("first").alias("leader"))), "key"), "members")
+    members = scratch.put(placed.join(maybe_broadcast(buckets.where("n > 2").select("key", "n")), "key"), "members")
+    # The leader is the node that stands in the largest buckets, the most central one.
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("best")).select("key", F.col("best.node").alias("leader"))
+    members = scratch.put(members.join(maybe_broadcast(scratch.put(leaders, "leaders")), "key").select("key", "node", "leader"), "led")
     star = scratch.put(twos.union(members.where("node != leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))).distinct(), "star")
     involved = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = scratch.put(each.join(involved, "node", "left_semi").select("node", "id"), "chosen")

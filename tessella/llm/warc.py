@@ -16,8 +16,10 @@ committed, so repeated or lost tasks leave unused files but never wrong ones. Fi
 are reached through pyarrow by the folder's URI.
 
 Defined cases: a null payload is empty; repeated rows (same key, same payload) are separate
-records of one id, one of which refers to the id itself as response; an empty table writes no
-bundle; other columns are ignored. Memory: one frame and one record.
+records of one id and of one type (all responses where their key is the largest); a null key is
+written as urn:record:null and comes back as null, smaller than any other; where equal payloads
+have null keys only, all are responses; a null URL is empty; an empty table writes no bundle;
+other columns are ignored. Memory: one frame and one record.
 """
 
 from __future__ import annotations
@@ -50,20 +52,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _urn(key: int | None) -> str:
+    return f"<urn:record:{'null' if key is None else key}>"
+
+
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC/1.1 record. A revisit has the response's headers and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:record:{key}>",
+        f"WARC-Record-ID: {_urn(key)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:record:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -87,8 +93,9 @@ def _row(headers: dict[str, str], block: bytes) -> dict:
     if kind == "response" and (len(payload) != said or digest(payload) != told):
         raise ValueError(f"payload of {headers['warc-record-id']} doesn't match its digest")
 
-    def key(name: str) -> int:
-        return int(headers[name].strip("<>").rpartition(":")[2])
+    def key(name: str) -> int | None:
+        said = headers[name].strip("<>").rpartition(":")[2]
+        return None if said == "null" else int(said)
 
     return {
         "key": key("warc-record-id"), "url": headers["warc-target-uri"], "record_type": kind, "payload_bytes": said, "payload_digest": told,
@@ -198,30 +205,40 @@ def _arrow(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
 
+#: Frames that a task reads back, about a MB each.
+FRAMES = 16
+
+
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the index's bundles. A response's payload is checked against its digest."""
+    """All records of the index's bundles, frame by frame through the seek tables. A response's
+    payload is checked against its digest."""
     spark = index.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        last, table = None, []
         for b in batches:
-            for uri in b.column(0).to_pylist():
+            for uri, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, path = _files(uri)
                 with fs.open_input_file(path) as f:
-                    for at, packed, size in seek_table(f):
-                        f.seek(at)
-                        data, rows, place = zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=size), [], 0
-                        while place < len(data):
-                            headers, block, place = parse(data, place)
-                            rows.append(_row(headers, block))
-                            if not payloads:
-                                rows[-1]["payload"] = None
-                        yield _arrow(rows)
-
-    bundles = index.groupBy("bundle").count().select("bundle")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return bundles.repartition(n, "bundle").mapInArrow(tidied(run), _ROWS)
+                    if last != uri:
+                        last, table = uri, seek_table(f)
+                    at, packed, size = table[frame]
+                    f.seek(at)
+                    data, rows, place = zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=size), [], 0
+                while place < len(data):
+                    headers, block, place = parse(data, place)
+                    rows.append(_row(headers, block))
+                    if not payloads:
+                        rows[-1]["payload"] = None
+                yield _arrow(rows)
+
+    frames = index.groupBy("bundle").agg(F.max("frame").alias("last")).select("bundle", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("frame"))
+    n = index.select("bundle", "frame").distinct().count()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), -(-n // FRAMES))
+    # Dealt without a key, so that the number of tasks holds.
+    return frames.repartition(tasks).sortWithinPartitions("bundle", "frame").mapInArrow(tidied(run), _ROWS)
 
 
 def lookup(index: DataFrame, keys: DataFrame, key_column: str = "key") -> DataFrame:

@@ -6,13 +6,15 @@ power of two. So the order of paragraphs does not matter, and a paragraph is ins
 deleted by adding or subtracting its vector (`add`, `remove`).
 
 The vector has two parts: 16 lanes modulo 2^32, uniform in the paragraph's bytes, which
-decide equality; and 256 lanes modulo 2^16 into which each three-word shingle of the
+decide equality; and 256 lanes modulo 2^32 into which each three-word shingle of the
 paragraph adds +1 or -1, so that the cosine of two sums estimates the likeness of the
-multisets of shingles (error about 1/16). The likeness is 1 for equal fingerprints.
+multisets of shingles (error about 1/16). The likeness is 1 for equal fingerprints. A lane
+holds sums of up to 2^31 shingles either way, more than a text can have.
 
 Defined cases: a null text is the empty text, which is one empty paragraph; a paragraph
 of fewer than three words has one shingle; equal ids are ordered by text; null ids come
-first; other columns are ignored.
+first; other columns are ignored. Ids are meant to be keys: all rows of one id are in one range,
+and so in one task.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ _LANES = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
 
 
 def vectors(column: pa.Array) -> np.ndarray:
-    """Fingerprints of texts: rows of WIDE 32-bit and SKETCH 16-bit sums (as int64)."""
+    """Fingerprints of texts: rows of WIDE + SKETCH 32-bit sums (as int64)."""
     out = []
     for _, _, data, offs in chunks(column):
         n = len(offs) - 1
@@ -65,7 +67,7 @@ def vectors(column: pa.Array) -> np.ndarray:
             s = mix(w[full] * _U(3) + mix(second[full] * _U(5) + mix(third[full])))
         at = doc[para[full]] * SKETCH + (s & _U(SKETCH - 1)).astype(np.int64)
         sign = np.where((s >> _U(40)) & _U(1), 1.0, -1.0)
-        sketch = np.bincount(at, sign, n * SKETCH).astype(np.int64).reshape(n, SKETCH) & 0xFFFF
+        sketch = np.bincount(at, sign, n * SKETCH).astype(np.int64).reshape(n, SKETCH) & 0xFFFFFFFF
         out.append(np.hstack([wide.astype(np.int64), sketch]))
     return np.concatenate(out) if out else np.zeros((0, WIDE + SKETCH), np.int64)
 
@@ -81,12 +83,12 @@ def remove(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _masks() -> np.ndarray:
-    return np.array([0xFFFFFFFF] * WIDE + [0xFFFF] * SKETCH, np.int64)
+    return np.array([0xFFFFFFFF] * (WIDE + SKETCH), np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1, for each pair of rows."""
-    x, y = [(v[:, WIDE:].astype(np.int16)).astype(float) for v in (a, b)]
+    x, y = [v[:, WIDE:].astype(np.uint32).view(np.int32).astype(float) for v in (a, b)]
     same = (a == b).all(axis=1)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = (x * y).sum(1) / np.where(norm > 0, norm, 1)
@@ -95,7 +97,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def text_form(v: np.ndarray) -> list[str]:
     """Hexadecimal fingerprints."""
-    return [a.tobytes().hex() + b.tobytes().hex() for a, b in zip(v[:, :WIDE].astype(">u4"), v[:, WIDE:].astype(">u2"), strict=True)]
+    return [a.tobytes().hex() for a in v.astype(">u4")]
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,25 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are words (A-Z as a-z) and one end symbol per text. The root of the tree gives
-every symbol its add-one smoothed share. A context (the one or two words before a symbol;
-the end symbol stands before a text's first word) becomes a state when
+every symbol its add-one smoothed share. With N training symbols, a context (the one to `depth`
+words before a symbol; the end symbol stands before a text's first word) becomes a state when
 
-* it is frequent: at least `context_share` of all training symbols follow it, and
+* at least max(4, sqrt(N) / `contexts`) symbols follow it, and
 * its next-symbol distribution diverges from that of its longest retained suffix: the
   log-likelihood gain over its occurrences, an empirical KL divergence times their number,
   is at least `least_gain` nats and `least_rate` nats an occurrence.
 
-A state keeps explicit probabilities for next symbols that follow it in at least
-`symbol_share` of all training symbols (counts absolutely discounted); the other symbols
+A state keeps explicit probabilities for next symbols that follow it at least
+max(4, sqrt(N) / `symbols`) times (counts absolutely discounted); the other symbols
 share the rest in the proportions of the suffix state, so each distribution sums to one.
 A symbol is scored in the state of its longest retained context.
 
-Scale: words travel as 64-bit hashes. Counting pre-aggregates in each task. States and
-explicit symbols number at most 1/context_share and 1/symbol_share by definition, which
-bounds what is collected and broadcast. The vocabulary has no such bound, so its counts are
-never broadcast: texts are dealt into blocks of a bounded size, the distinct words of each
-block are joined to the counts, and block and counts meet again by block number. A word as
-common as one may be stands once per block, not once per occurrence.
+Scale: words travel as 64-bit hashes. Counting pre-aggregates in each task. A level has at most
+`contexts` * sqrt(N) states and `symbols` * sqrt(N) explicit probabilities of 16 bytes; these are
+collected and broadcast. So the tree grows with the corpus, without bound but by its square
+root (30 GB of text: at most 4 million explicit probabilities a level). The vocabulary grows
+faster and is never broadcast. It isn't needed whole either: a word that is no explicit symbol
+anywhere has, in each state, the root's share times factors that its context alone gives. So
+one pass scores all but the counts of rare words; their logarithms are summed by row, after a
+join of the rare words with the counts. Texts are not moved. No rare word of the training
+texts is hot, by definition.
 
 Defined cases: a null or empty text is one end symbol; repeated rows are scored (and, in
 training, counted) each; an empty training set gives every symbol the share 1 / (0 + 0 + 1);
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, text_of, words, tidied
+from .common import Scratch, chunks, mix, text_of, tidied, words
 
 END = np.uint64(0xE0D0_0000_0000_0001)
 #: Distinct keys a counting task holds before it passes them on.
@@ -130,30 +133,40 @@ class Tree:
     total: int  # N: training symbols
     distinct: int  # V
     symbols: np.ndarray  # sorted hashes of the numbered (frequent) symbols
-    shares: np.ndarray  # their root probabilities
+    counts: np.ndarray  # their training counts
     levels: list[Level]
     ends: int = 0  # end symbols, one per training text; no floor applies
 
     def root(self, c: np.ndarray) -> np.ndarray:
         return (c + 1.0) / (self.total + self.distinct + 1.0)
 
-    def probabilities(self, symbols: np.ndarray, ends: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Of each symbol of a stream, given the root's probabilities."""
+    def factors(self, symbols: np.ndarray, ends: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Probability of each symbol of a stream, given the root's probabilities. For a symbol
+        without a number it is `root` times a factor of its context alone."""
         p = root
         number = find_in(self.symbols, symbols)
-        state_key = before(symbols, ends)
-        last = state_key
-        for d, level in enumerate(self.levels):
-            if d:
-                last = before(last, ends)
-                first = np.concatenate([[0], ends[:-1]])
-                last[first] = END
-                state_key = context_key(last, before(symbols, ends))
-                state_key[first] = 0
-            p = step(level, find_in(level.keys, state_key), number, p)
+        keys = None
+        for level in self.levels:
+            keys = context_keys(keys, symbols, ends)
+            p = step(level, find_in(level.keys, keys), number, p)
         return p
 
 
+def context_keys(shorter: np.ndarray | None, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Before each symbol the key of the context one word longer than those of `shorter` (None:
+    of one word); 0 where the text has none."""
+    last = before(symbols, ends)
+    first = np.concatenate([[0], ends[:-1]])
+    if shorter is None:
+        last[first] = END
+        return last
+    older = np.empty_like(shorter)
+    older[0] = 0
+    older[1:] = shorter[:-1]
+    older[first] = 0
+    return np.where(older != 0, context_key(older, last), np.uint64(0))
+
+
 def context_key(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(older * np.uint64(0xC2B2AE3D27D4EB4F) + mix(newer)) | np.uint64(1)
@@ -171,11 +184,11 @@ def step(level: Level, state: np.ndarray, number: np.ndarray, p: np.ndarray) ->
     return out
 
 
-def _retained(keys, suffix, pairs, counts, followed, parent_of, least_gain, least_rate) -> tuple[Level, np.ndarray]:
+def _retained(keys, pairs, counts, followed, parent_of, least_gain, least_rate) -> tuple[Level, np.ndarray]:
     """Divergence tests. pairs: state * 2^32 + symbol; parent_of(states, symbols) gives
-    the suffix state's probabilities. Also gives which contexts stay."""
+    the probabilities in the states' longest retained suffix. Also gives which contexts stay."""
     state, number = pairs >> 32, pairs & 0xFFFFFFFF
-    parent = parent_of(suffix[state], number)
+    parent = parent_of(state, number)
     n = followed.astype(float)
     shared = np.clip(counts - 0.5, 1e-9, None) / n[state]
     size = len(keys)
@@ -199,76 +212,65 @@ def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("k").to_numpy().astype(np.int64), t.column("c").to_numpy().astype(np.int64)
 
 
-def learn(train: DataFrame, counts: DataFrame, text_column: str = "text", context_share: float = 2e-4, symbol_share: float = 1e-6, least_gain: float = 12.0, least_rate: float = 0.002, depth: int = 2) -> Tree:
+def learn(train: DataFrame, counts: DataFrame, text_column: str = "text", contexts: float = 8.0, symbols: float = 50.0, least_gain: float = 12.0, least_rate: float = 0.002, depth: int = 4) -> Tree:
     """Fit a tree. counts: (k, c) of `train`'s symbols, a written table."""
     spark = train.sparkSession
     said = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(said[0] or 0), int(said[1])
     ends = counts.where(F.col("k") == int(END.view(np.int64))).agg(F.sum("c")).first()[0]
-    floor = max(4, math.ceil(symbol_share * total))
-    k, c = _collected(counts.where(F.col("c") >= floor))  # at most 1/symbol_share rows
+    floor, need = (max(4, math.ceil(math.sqrt(total) / x)) for x in (symbols, contexts))
+    need = max(need, floor)
+    k, c = _collected(counts.where(F.col("c") >= floor))
     order = np.argsort(k.view(np.uint64))
-    symbols, sizes = k.view(np.uint64)[order], c[order]
-    tree = Tree(total, distinct, symbols, (sizes + 1.0) / (total + distinct + 1.0), [], int(ends or 0))
-    if not len(symbols):
-        return tree
-    need = max(floor, math.ceil(context_share * total))
-    # One word: the frequent symbols themselves.
-    one = symbols[sizes >= need]
-    held = spark.sparkContext.broadcast((symbols, one))
-
-    def pairs_of(h, ends):
-        all_symbols, contexts = held.value
-        s, n = find_in(contexts, before(h, ends)), find_in(all_symbols, h)
-        both = (s >= 0) & (n >= 0)
-        return (s[both] << 32) | n[both]
-
-    pairs, seen = _collected(_counted(train, pairs_of, text_column).where(F.col("c") >= floor))
-    followed = sizes[sizes >= need]
-
-    def from_root(_, n):
-        return tree.shares[n]
-
-    zeros = np.zeros(len(one), np.int64)
-    level, keep = _retained(one, zeros, pairs, seen, followed, from_root, least_gain, least_rate)
-    tree.levels.append(level)
-    if depth < 2:
-        return tree
-    # Two words: frequent pairs, among them END before a text's first word.
-    often = seen >= need
-    older, newer = one[pairs[often] >> 32], symbols[pairs[often] & 0xFFFFFFFF]
-    usable = newer != END
-    older, newer, followed = older[usable], newer[usable], seen[often][usable]
-    if not len(older):
-        return tree
-    key = context_key(older, newer)
-    order = np.argsort(key)
-    key, newer, followed = key[order], newer[order], followed[order]
-    held2 = spark.sparkContext.broadcast((symbols, key))
-
-    def triples_of(h, ends):
-        all_symbols, contexts = held2.value
-        prev = before(h, ends)
-        older = before(prev, ends)
-        first = np.concatenate([[0], ends[:-1]])
-        older[first] = END
-        key = context_key(older, prev)
-        key[first] = 0
-        s, n = find_in(contexts, key), find_in(all_symbols, h)
-        both = (s >= 0) & (n >= 0)
-        return (s[both] << 32) | n[both]
-
-    pairs2, seen2 = _collected(_counted(train, triples_of, text_column).where(F.col("c") >= floor))
-
-    def from_one(state, n):
-        return step(level, state, n, tree.shares[n])
-
-    tree.levels.append(_retained(key, find_in(level.keys, newer), pairs2, seen2, followed, from_one, least_gain, least_rate)[0])
+    known, sizes = k.view(np.uint64)[order], c[order]
+    tree = Tree(total, distinct, known, sizes, [], int(ends or 0))
+    share = tree.root(sizes)
+    # Candidates: their words, from old to new, and how many symbols follow.
+    often = sizes >= need
+    said, followed = known[often][:, None], sizes[often]
+    while len(said) and len(tree.levels) < depth:
+        length = said.shape[1]
+        key = _key(said)
+        order = np.argsort(key)
+        key, said, followed = key[order], said[order], followed[order]
+        held = spark.sparkContext.broadcast((known, key, length))
+
+        def pairs_of(h, ends):
+            numbered, states, length = held.value
+            at = None
+            for _ in range(length):
+                at = context_keys(at, h, ends)
+            s, n = find_in(states, at), find_in(numbered, h)
+            both = (s >= 0) & (n >= 0)
+            return (s[both] << 32) | n[both]
+
+        pairs, seen = _collected(_counted(train, pairs_of, text_column).where(F.col("c") >= floor))
+
+        def parent(state, number):
+            p = share[number]
+            for d, level in enumerate(tree.levels, 1):
+                p = step(level, find_in(level.keys, _key(said[:, -d:]))[state], number, p)
+            return p
+
+        level, _ = _retained(key, pairs, seen, followed, parent, least_gain, least_rate)
+        tree.levels.append(level)
+        # One word longer: what follows a candidate often enough and is no end.
+        state, newer = pairs >> 32, known[pairs & 0xFFFFFFFF]
+        longer = (seen >= need) & (newer != END)
+        said, followed = np.column_stack([said[state[longer]], newer[longer]]), seen[longer]
     return tree
 
 
-def score(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None, block_bytes: int = 8_000_000, least_blocks: int = 64, **parameters) -> DataFrame:
-    """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one per row of docs,
+def _key(said: np.ndarray) -> np.ndarray:
+    """The contexts' keys, from rows of words."""
+    key = said[:, 0]
+    for i in range(1, said.shape[1]):
+        key = context_key(key, said[:, i])
+    return key
+
+
+def score(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None, **parameters) -> DataFrame:
+    """Rows (id, n_tokens, n_known, base_score, score, train_tokens), one per row of docs,
     scored by a tree that `train` gives (its keyword parameters: see `learn`)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix-tree")
@@ -277,64 +279,34 @@ def score(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_col
     counts = scratch.put(_counted(train, lambda h, ends: h, "text"), "counts")
     tree = learn(train, counts, **parameters)
     model = spark.sparkContext.broadcast(tree)
+    least = int(tree.counts.min()) if len(tree.counts) else 0
 
-    # Blocks: rows dealt by a hash of their place in the input, so that neither a hot id
-    # nor many equal rows meet in one block. Both uses below see the same scan.
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(least_blocks, math.ceil(size / block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        rows = 0
-
-        def out():
-            for block, parts in held.items():
-                k = np.unique(np.concatenate(parts)).view(np.int64)
-                for i in range(0, len(k), 200_000):
-                    part = k[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part)], names=["block", "k"])
-
-        for b in batches:
-            block = b.column(1).to_numpy()
-            for a, _, data, offs in chunks(b.column(0)):
-                h, n = words(data, offs)
-                of = np.repeat(block[a : a + len(n)], n)
-                order = np.argsort(of, kind="stable")
-                of, h = of[order], h[order]
-                edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else [0]
-                for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    u = np.unique(h[x:y])
-                    held.setdefault(int(of[x]), []).append(u)
-                    rows += len(u)
-            if rows > 4 * HELD:
-                yield from out()
-                held.clear()
-                rows = 0
-        yield from out()
-
-    asked = dealt.select("text", "block").mapInArrow(tidied(vocabulary), "block int, k bigint").distinct()
-    known = asked.join(counts, "k").select("block", "k", "c")
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = model.value
-        k = right.column("k").to_numpy().view(np.uint64)
-        order = np.argsort(k)
-        k, c = k[order], right.column("c").to_numpy()[order]
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for _, _, data, offs in chunks(left.column("text")):
-            h, ends = stream(data, offs)
-            at = find_in(k, h)
-            n = np.where(at >= 0, c[at] if len(c) else 0, 0)
-            n[ends - 1] = tree.ends
-            root = tree.root(n)
-            p = tree.probabilities(h, ends, root)
-            first = np.concatenate([[0], ends[:-1]])
-            for place, x in enumerate((np.ones(len(h), np.int64), (n > 0).astype(np.int64), np.log10(root), np.log10(p))):
-                out[place].append(np.add.reduceat(x, first))
-        full = [np.concatenate(x) for x in out]
-        return pa.table([left.column("id"), *map(pa.array, full)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+        for b in batches:
+            for lo, hi, data, offs in chunks(b.column(2)):
+                h, ends = stream(data, offs)
+                at = find_in(tree.symbols, h)
+                n = np.where(at >= 0, tree.counts[at] if len(tree.counts) else 0, 0)
+                n[ends - 1] = tree.ends
+                settled = at >= 0
+                settled[ends - 1] = True
+                root = np.where(settled, tree.root(n), 1.0)
+                first = np.concatenate([[0], ends[:-1]])
+                sums = [np.add.reduceat(x, first) for x in (np.ones(len(h), np.int64), (n > 0).astype(np.int64), np.log10(root), np.log10(tree.factors(h, ends, root)))]
+                rare = h[~settled].view(np.int64)
+                cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(~settled, first, dtype=np.int64))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:2]], *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare))], names=names)
 
+    names = ["row", "id", "n_tokens", "n_known", "base", "score", "rare"]
     of = docs.schema["id"].dataType.simpleString()
-    result = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scored, f"id {of}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return result.withColumn("train_tokens", F.lit(tree.total).cast("long"))
+    # Written once, so that each row keeps its number.
+    settled = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(tidied(run), f"row bigint, id {of}, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>")
+    settled = scratch.put(settled, "settled")
+    asked = settled.select("row", F.explode("rare").alias("k"))
+    found = counts.where(F.col("c") < least) if least else counts
+    share = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(tree.total + tree.distinct + 1.0))
+    rest = asked.join(found, "k", "left").groupBy("row").agg(F.sum(share).alias("more"), F.count("c").alias("known"))
+    out = settled.drop("rare").join(rest, "row", "left")
+    more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    return out.select("id", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"), F.lit(tree.total).cast("long").alias("train_tokens"))

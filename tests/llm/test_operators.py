@@ -83,6 +83,10 @@ def test_warc(spark, tmp_path):
     assert got == sorted(want)
     found = warc.lookup(index, spark.createDataFrame([(5,), (1,)], "key long")).collect()
     assert {(r.key, r.record_type) for r in found} == {(5, "response"), (1, "revisit")}
+    assert warc.read(index).rdd.getNumPartitions() > 1
+    odd = spark.createDataFrame([(None, "u", "x"), (None, None, "y"), (4, "u", "x"), (9, "u", "z"), (9, "u", "z")], "page_id long, url string, html string")
+    told = sorted(((r.key, r.record_type, r.refers_to) for r in warc.read(warc.write(odd, f"file://{tmp_path}/o")).collect()), key=str)
+    assert told == sorted([(None, "revisit", 4), (None, "response", None), (4, "response", None), (9, "response", None), (9, "response", None)], key=str)
     assert warc.read(warc.write(pages.where("page_id < 0"), f"file://{tmp_path}/e")).count() == 0
 
 
@@ -110,8 +114,8 @@ def test_suffix_tree_is_a_distribution(spark):
 
     s = Scratch(spark, "test")
     counts = s.put(suffix_tree._counted(docs, lambda h, e: h, "text"), "c")
-    tree = suffix_tree.learn(docs, counts, context_share=1e-3)
-    assert len(tree.levels) == 2 and len(tree.levels[0].keys) and len(tree.levels[1].keys)
+    tree = suffix_tree.learn(docs, counts)
+    assert len(tree.levels) == 4 and len(tree.levels[0].keys) and len(tree.levels[1].keys)
     k = np.array([r.k for r in counts.collect()]).view(np.uint64)
     c = dict((np.uint64(r.k % 2**64), r.c) for r in counts.collect())
     for before in (["c"], ["a", "b"], ["d", "b"]):
@@ -120,10 +124,61 @@ def test_suffix_tree_is_a_distribution(spark):
         for w in [*k, np.uint64(12345)]:
             stream = np.array([*head, w], np.uint64)
             root = tree.root(np.array([c.get(x, 0) for x in stream]))
-            total += tree.probabilities(stream, np.array([len(stream)]), root)[-1]
+            total += tree.factors(stream, np.array([len(stream)]), root)[-1]
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_suffix_tree_scores_against_brute_force(spark):
+    """The scores of a tree built from dictionaries of tuples of words, by the definition."""
+    rng = np.random.default_rng(6)
+    parts = ["a b c d", "x b c e", "d b", "q r s t u v", "a", "x"]
+    train = [(i, " ".join([*rng.choice(parts, 60), *[f"rare{rng.integers(0, 40)}" for _ in range(3)]])) for i in range(25)]
+    docs = [*train, (90, " ".join([*parts, "never seen", "a b c d"])), (91, None), (92, "a b c d q r s t u v rare1 b c e")]
+    depth, gain, rate = 3, 12.0, 0.002
+    streams = {i: [*tokens(t), None] for i, t in docs}
+    count = collections.Counter(w for i, _ in train for w in streams[i])
+    n, v = sum(count.values()), len(count)
+    floor, need = max(4, math.ceil(math.sqrt(n) / 50)), max(4, math.ceil(math.sqrt(n) / 8))
+    explicit = {w for w, c in count.items() if c >= floor}
+    follow = collections.defaultdict(collections.Counter)
+    for i, _ in train:
+        s = [None, *streams[i]]
+        for j in range(1, len(s)):
+            for d in range(1, depth + 1):
+                if j - d >= 0:
+                    follow[tuple(s[j - d : j])][s[j]] += 1
+    states = {}
+
+    def probability(context, w):
+        for d in range(min(depth, len(context)), 0, -1):
+            if context[-d:] in states:
+                known, rest = states[context[-d:]]
+                return known[w] if w in known else rest * probability(context[-d:][1:], w)
+        return (count[w] + 1) / (n + v + 1)
+
+    for d in range(1, depth + 1):
+        new = {}
+        for context, after in follow.items():
+            if len(context) != d or sum(after.values()) < need:
+                continue
+            total = sum(after.values())
+            kept = {w: c for w, c in after.items() if c >= floor and w in explicit}
+            parent = {w: probability(context[1:], w) for w in kept}
+            p = {w: (c - 0.5) / total for w, c in kept.items()}
+            rest = max(1 - sum(p.values()), 1e-12) / max(1 - sum(parent.values()), 1e-12)
+            won = sum(c * math.log(p[w] / parent[w]) for w, c in kept.items()) + (total - sum(kept.values())) * math.log(rest)
+            if won >= gain and won >= rate * total:
+                new[context] = (p, rest)
+        states |= new
+    assert {len(c) for c in states} == {1, 2, 3}
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in suffix_tree.score(make(docs), make(train), depth=depth).collect()}
+    for i, s in streams.items():
+        line = [None, *s]
+        want = sum(math.log10(probability(tuple(line[max(0, j - depth) : j]), line[j])) for j in range(1, len(line)))
+        assert got[i].score == pytest.approx(want, rel=1e-9) and got[i].n_known == sum(count[w] > 0 for w in s)
+
+
 # ---------------------------------------------------------------- 3 secrets
 
 
@@ -152,7 +207,7 @@ def test_secrets_tokens_and_redaction(spark, docs, none):
 
 
 def test_decontamination(spark, none):
-    items = [(1, words(30, 10)), (2, words(9, 11)), (3, words(2, 12)), (4, words(30, 10)), (5, []), (6, words(4, 13))]
+    items = [(1, words(30, 10)), (2, words(9, 11)), (3, words(2, 12)), (4, words(30, 10)), (5, []), (6, words(4, 13)), (7, words(5, 15)), (8, ["solo"]), (9, ["solo"])]
     rng, rows = np.random.default_rng(1), []
     for i, (_, w) in enumerate(items * 3):
         t = words(40, 100 + i)
@@ -162,7 +217,8 @@ def test_decontamination(spark, none):
         if i >= 12 and len(part) > 12:
             part[6] = "sub2"
         rows.append((i, " ".join([*t, *part, *words(20, 200 + i)]).upper()))
-    rows += [(50, None), (51, ""), (52, " ".join(words(5000, 77)))]
+    five = words(5, 15)
+    rows += [(50, None), (51, ""), (52, " ".join(words(5000, 77))), (53, " ".join([*five[:2], "other", *five[3:]])), (54, "one SOLO two solo"), (54, "one SOLO two solo"), (55, "Solo"), (56, "x " * 3000 + "solo")]
     bench = spark.createDataFrame([(i, " ".join(w) or None, 1) for i, w in items], "item_id long, text string, row int")
     d = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, row int, seed string")
     got = {(r.id, r.item_id) for r in decontaminate.find(d, bench).collect()}
@@ -170,13 +226,13 @@ def test_decontamination(spark, none):
     for i, t in rows:
         w = tokens(t)
         for j, it in items:
-            if j == 4 or len(it) < 3:
+            if not it:
                 continue
             k = min(12, len(it))
             hit = any(sum(0 <= a + b < len(w) and w[a + b] == it[b] for b in range(s, s + k)) >= 0.8 * k for a in range(-len(it), len(w)) for s in range(len(it) - k + 1))
             if hit:
                 want.add((i, j))
-    assert got == want and len(want) >= 9
+    assert got == want and len(want) >= 9 and (53, 7) in got and decontaminate.find(d, bench).where("id = 54").count() == 4
     assert decontaminate.find(none, bench).count() == 0 and decontaminate.find(d, bench.where("item_id < 0")).count() == 0
     kept = decontaminate.drop_contaminated(d, bench)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
@@ -366,6 +422,35 @@ def test_multiset_hash_is_homomorphic():
     assert (multiset_hash.add(v[2], v[3]) == v[5]).all() and (multiset_hash.remove(v[5], v[3]) == v[2]).all()
 
 
+def test_likeness_against_brute_force(spark):
+    """The likeness is near the cosine of the multisets of three-word shingles; long repetitive
+    texts keep theirs; fingerprints are those of the edited texts themselves."""
+
+    def counts(t):
+        out = collections.Counter()
+        for p in t.split("\n"):
+            w = tokens(p)
+            out.update(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)) if w)
+        return out
+
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 400)) + ("\n" + " ".join(words(200, 5)) if i % 2 else "")) for i in range(12)]
+    rows += [(50, "a " * 40000), (51, "a " * 30000), (52, None)]
+    got = {r.id: r for r in multiset_hash.with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, n = t or "", n or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        for other, said in ((n, got[i].near_next), (e, got[i].near_edited)):
+            a, b = counts(t), counts(other)
+            norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            want = 1.0 if t == other else sum(a[k] * b[k] for k in a) / norm if norm else 0.0
+            assert said == pytest.approx(want, abs=0.3)
+        v = multiset_hash.text_form(multiset_hash.vectors(pa.array([t, e])))
+        assert [got[i].fingerprint, got[i].edited_fingerprint] == v
+    assert got[50].near_next > 0.99
+
+
 # ---------------------------------------------------------------- 9 chat
 
 
@@ -393,6 +478,28 @@ def test_chat(spark):
     assert chat_format.windows(d.where("conv_id < -5")).count() == 0
 
 
+def test_chat_budget(spark):
+    """No window exceeds its budget but by a long turn of its own."""
+    rng, rows = np.random.default_rng(14), []
+    size = lambda t: 4 + -(-len(t.encode()) // 4)
+    for c in range(40):
+        if c % 2:
+            rows.append((c, 0, "system", "s" * int(rng.integers(4, 400))))
+        rows += [(c, t + 1, "user" if t % 2 else "assistant", "x" * int(rng.integers(1, [60, 400, 1000, 3000][c % 4]))) for t in range(40)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    budget, history = 512, 64
+    many = 0
+    for r in chat_format.read_back(chat_format.windows(d, budget, history)).join(chat_format.windows(d, budget, history).select("conv_id", "window", "text", "n_context"), ["conv_id", "window"]).collect():
+        parts = [p.partition("|>\n")[2] for p in r.text.split("<|end|>\n")[:-1]]
+        own = [size(t.text) for t in r.turns]
+        many += r.n_context > 0
+        if max(own) <= (budget - history) // 4:
+            assert sum(map(size, parts)) <= budget
+        else:
+            assert len(own) == 1 and r.n_context <= 1
+    assert many > 50
+
+
 # ---------------------------------------------------------------- 10 licences
 
 
@@ -406,3 +513,62 @@ def test_licenses(spark):
     want = [(1, "MIT", "header"), (2, "GPL-3.0", "inherited"), (3, "Apache-2.0", "header"), (4, None, "none"), (5, None, "none"), (6, "GPL-3.0", "header"), (7, "MIT", "inherited"), (7, "MIT", "inherited"), (8, None, "none")]
     assert got == want
     assert license_scan.scan(d.where("doc_id < 0")).count() == 0
+
+
+def test_licenses_against_brute_force(spark):
+    """Cosines of lines, sentences and whole files, and the nearest licence file above, worked out
+    with dictionaries; rows of one id and path keep their own result."""
+    t = license_scan.TEMPLATES
+    rng, rows = np.random.default_rng(21), []
+    flat = [s for v in t.values() for s in v]
+    for i in range(120):
+        said = str(rng.choice(flat)).split()
+        for _ in range(int(rng.integers(0, 4))):
+            said[int(rng.integers(0, len(said)))] = str(rng.choice(["license", "the", "odd", "mit", "public", "2.0"]))
+        body = ["# " + " ".join(said[: len(said) // 2]) + "\n# " + " ".join(said[len(said) // 2 :]) if i % 3 == 0 else " ".join(said)]
+        if i % 4:
+            body += [" ".join(words(int(rng.integers(0, 60)), i)) + "."]
+        rows.append((i, "/".join(["r", *[f"d{k}" for k in rng.integers(0, 3, int(rng.integers(0, 4)))], f"f{i}"]), "\n\n".join(body)))
+    rows += [(500, "q/x", "Released under the MIT License."), (500, "q/x", "Licensed under the ISC License."), (500, "q/x", "no words of it"), (501, None, None), (502, "s/x", "# SPDX-License-Identifier: Apache-2.0\ncode = 1"), (502, "s/x", "# SPDX-License-Identifier: Apache-2.0\ncode = 1"), (503, "l", "long " * 20000)]
+    find_words = lambda x: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", x.lower())
+    vocabulary = {w for s in flat for w in find_words(s)}
+    df = collections.Counter(w for _, _, x in rows for w in set(find_words(x or "")) & vocabulary)
+    idf = lambda w: math.log((1 + len(rows)) / (1 + (df[w] if w in vocabulary else 0))) + 1
+
+    def vector(x):
+        v = {w: c * idf(w) for w, c in collections.Counter(find_words(x)).items()}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        return {w: y / norm for w, y in v.items()} if norm else {}
+
+    of = [(name, vector(s)) for name, v in t.items() for s in v]
+
+    def best(units, least):
+        scored = [(-round(sum(x * v.get(w, 0) for w, x in u.items()), 9), name) for u in map(vector, units) for name, v in of]
+        return min((c for c in scored if -c[0] >= least), default=None)
+
+    def units(x):
+        joined = re.sub(r"(?<!\n)\r?\n(?!\r?\n)", " ", re.sub(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+)[ \t]?", "", x))
+        return {u for u in [*x.split("\n"), *re.split(r"\n|(?<=[.!?])\s+", joined)] if u}
+
+    own = [(best(units(x or ""), 0.8), best([x or ""], 0.5)) for _, _, x in rows]
+    dirs = {}
+    for (_, path, _), (_, file) in zip(rows, own, strict=True):
+        d = (path or "").rpartition("/")[0]
+        if file:
+            dirs[d] = min(dirs.get(d, file), file)
+    want = []
+    for (i, path, _), (head, file) in zip(rows, own, strict=True):
+        found, pick, d = ("header", head) if head else ("file", file), head or file, (path or "").rpartition("/")[0]
+        while not pick:
+            if d in dirs:
+                found, pick = ("inherited", dirs[d]), dirs[d]
+            elif not d:
+                break
+            d = d.rpartition("/")[0]
+        want.append((i, path or "", pick[1] if pick else None, found[0] if pick else "none", round(-pick[0], 6) if pick else None))
+    d = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = [(r.id, r.path, r.license, r.found, round(r.score, 6) if r.score is not None else None) for r in license_scan.scan(d).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kinds = collections.Counter(x[3] for x in want)
+    assert kinds["header"] > 20 and kinds["file"] and kinds["inherited"] and kinds["none"]
+    assert [x[2] for x in got if x[0] == 502] == ["Apache-2.0"] * 2 and {x[2] for x in got if x[0] == 500} == {"MIT", "ISC"}

@@ -361,8 +361,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     scratch = parameters.setdefault("scratch", Scratch(docs.sparkSession, "keep-one"))
     rows = numbered(docs, scratch)
     found = scratch.put(near_duplicates(rows, ROW, text_column, **parameters), "found")
-    several = found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    several = scratch.put(found.join(several, "class_id", "left_semi").withColumnRenamed("id", ROW), "several")
+    several = scratch.put(found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id"), "repeated")
+    several = scratch.put(found.join(maybe_broadcast(several), "class_id", "left_semi").withColumnRenamed("id", ROW), "several")
     place = F.struct("__id", "node", ROW)
     of = several.join(rows.select(ROW, F.col(id_column).cast("long").alias("__id")), ROW)
     stay = of.groupBy("class_id").agg(F.min(place).getField(ROW).alias(ROW))

@@ -6,7 +6,7 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from . import colour_plans, create_plans, pixel_plans, spatial_plans, stats_plans
+from . import colour_plans, create_plans, pixel_plans, source_plans, spatial_plans, stats_plans
 from .images import EMB, Catalogue, emb
 
 
@@ -25,7 +25,7 @@ def catalogue() -> Catalogue:
     return c
 
 
-MODULES = [pixel_plans, spatial_plans, stats_plans, colour_plans, create_plans]
+MODULES = [pixel_plans, spatial_plans, stats_plans, colour_plans, create_plans, source_plans]
 
 
 def queries() -> dict:

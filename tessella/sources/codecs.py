@@ -403,6 +403,31 @@ def mat_decode(data: bytes) -> np.ndarray:
     raise CodecError("the MAT file holds no matrix")
 
 
+def mat_encode(a: np.ndarray, name: str = "image") -> bytes:
+    """A version 5 file, little-endian, of one matrix."""
+    a = _three(a)
+    code = next(k for k, v in _MAT.items() if np.dtype(v) == a.dtype)
+    # Array classes of the element types above.
+    kind = {1: 8, 2: 9, 3: 10, 4: 11, 5: 12, 6: 13, 7: 7, 9: 6}[code]
+
+    def element(sort: int, body: bytes) -> bytes:
+        return struct.pack("<II", sort, len(body)) + body.ljust(-(-len(body) // 8) * 8, b"\0")
+
+    shape = a.shape if a.shape[2] > 1 else a.shape[:2]
+    parts = [element(6, struct.pack("<II", kind, 0)), element(5, struct.pack(f"<{len(shape)}i", *shape)), element(1, name.encode()), element(code, np.asfortranarray(a.reshape(shape)).tobytes(order="F"))]
+    head = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    return head + element(14, b"".join(parts))
+
+
+def analyze_join(a: np.ndarray) -> bytes:
+    """Header and samples of an Analyze image in one piece, as `analyze_split` reads it."""
+    return b"".join(analyze_encode(a))
+
+
+def analyze_split(data: bytes) -> np.ndarray:
+    return analyze_decode(data[:348], data[348:])
+
+
 def raw_decode(data: bytes, width: int, height: int, bands: int, dtype: str = "u1") -> np.ndarray:
     """Headerless samples; the data type names size and byte order."""
     checked(height, width, bands)
@@ -437,7 +462,8 @@ REGISTRY = {
     "png": (b"\x89PNG", ("png",), png_decode, png_encode), "bmp": (b"BM", ("bmp",), bmp_decode, bmp_encode), "tiff": (b"II*\0", ("tif", "tiff"), tiff_decode, tiff_encode),
     "radiance": (b"#?", ("hdr",), radiance_decode, radiance_encode), "pfm": (b"PF", ("pfm",), pfm_decode, pfm_encode), "fits": (b"SIMPLE", ("fits", "fit"), fits_decode, fits_encode),
     "pnm": (b"P", ("pnm", "pbm", "pgm", "ppm"), pnm_decode, pnm_encode), "csv": (None, ("csv",), csv_decode, csv_encode), "matrix": (None, ("mat.txt", "matrix"), matrix_decode, matrix_encode),
-    "mat": (b"MATLAB", ("mat",), mat_decode, None), "nifti": (None, ("nii",), nifti_decode, nifti_encode), "native": (None, ("v",), native_decode, native_encode),
+    "mat": (b"MATLAB", ("mat",), mat_decode, mat_encode), "nifti": (None, ("nii",), nifti_decode, nifti_encode), "native": (None, ("v",), native_decode, native_encode),
+    "analyze": (None, ("hdr.img",), analyze_split, analyze_join),
 }
 
 

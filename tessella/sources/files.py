@@ -60,10 +60,10 @@ def read_jvm(spark: SparkSession, path: str) -> DataFrame:
     return img.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, SAMPLES)
 
 
-def encoded(r: Raster, kind: str = "png", dtype: str = "u1") -> DataFrame:
-    """One row (keys, data) per image: its file. The image must fit a task's memory; larger
-    ones are written as tiles (`deepzoom`)."""
-    encode, keys, bands = codecs.REGISTRY[kind][3], list(r.keys), r.bands
+def encoded(r: Raster, kind="png", dtype: str = "u1") -> DataFrame:
+    """One row (keys, data) per image: its file, in a format of the registry or by a function of
+    the array. The image must fit a task's memory; larger ones are written as tiles (`deepzoom`)."""
+    encode, keys, bands = codecs.REGISTRY[kind][3] if isinstance(kind, str) else kind, list(r.keys), r.bands
     rows = r.df.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", "band", F.col("v").cast("double").alias("v")))).alias("c"))
     lines = rows.select(*keys, "y", F.transform("c", lambda c: c["v"]).alias("line"))
     images = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("c")).select(*keys, F.transform("c", lambda c: c["line"]).alias("lines"))
@@ -77,6 +77,23 @@ def encoded(r: Raster, kind: str = "png", dtype: str = "u1") -> DataFrame:
     return images.mapInArrow(run, schema)
 
 
+def decoded(files: DataFrame, keys: list[str], decode) -> DataFrame:
+    """Samples (keys, y, x, band, v) of rows (keys, data), by a decoder of bytes."""
+    schema = files.select(*keys).schema
+    for name, kind in (("y", "integer"), ("x", "integer"), ("band", "integer"), ("v", "double")):
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                a = decode(b.column(len(keys))[i].as_py())
+                y, x, band = np.indices(a.shape, dtype=np.int32)
+                own = [b.column(k).take(pa.array(np.full(a.size, i))) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c.ravel()) for c in (y, x, band)], pa.array(a.ravel().astype(float))], names=[*keys, "y", "x", "band", "v"])
+
+    return files.select(*keys, "data").mapInArrow(run, schema)
+
+
 def write(r: Raster, folder: str, kind: str = "png", dtype: str = "u1") -> DataFrame:
     """Write one file per image under a folder of a shared store; rows (keys, path)."""
     keys, end = list(r.keys), codecs.REGISTRY[kind][1][0]

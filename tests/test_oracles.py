@@ -1,4 +1,4 @@
-"""Every fifth raster query against its SQL in DuckDB (all of them with TESSELLA_ALL=1)."""
+"""Every eighth raster query against its SQL in DuckDB (all of them with TESSELLA_ALL=1)."""
 
 import glob
 import os
@@ -10,6 +10,7 @@ from tessella.plans import catalogue
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracles()
 NAMES = sorted(ORACLES)[:: 1 if os.environ.get("TESSELLA_ALL") else 8]
+NAMES += [n for n in sorted(ORACLES) if n.startswith(("codec_", "source_")) and n not in NAMES]
 
 
 def rows(values):

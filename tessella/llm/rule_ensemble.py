@@ -8,7 +8,8 @@
 4. The remaining rules are compiled into one Spark column expression.
 
 The fit takes a bounded sample of labelled rows: `max_rows`, 20,000 by default, those with
-the smallest hash of the id. Scoring reads every row. The label, language, source and id
+the smallest hash of the id; each tree's bootstrap sample has at most `tree_rows`, 4,000 by default,
+of them. Scoring reads every row. The label, language, source and id
 are no inputs of a score.
 
 Defined cases: null and empty texts get the score that their statistics (all zero) give;
@@ -175,7 +176,7 @@ def _grow(x, y, rows, depth, rng, path, out, least=10):
     _grow(x, y, rows[~left], depth - 1, rng, [*path, (int(i), True, t)], out, least)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, steps: int = 400, seed: int = 7) -> Rules:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, steps: int = 400, seed: int = 7, tree_rows: int = 4000) -> Rules:
     """Rules of bootstrap trees, weighed by logistic regression with an L1 penalty."""
     share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     base = float(np.log(share / (1 - share)))
@@ -184,7 +185,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
     rng = np.random.default_rng(seed)
     paths: list = []
     for _ in range(trees):
-        _grow(x, y, rng.integers(0, len(y), min(len(y), 4000)), depth, rng, [], paths)
+        _grow(x, y, rng.integers(0, len(y), min(len(y), tree_rows)), depth, rng, [], paths)
     unique: dict[bytes, list] = {}
     for rule in paths:
         holds = _holds(rule, x)
@@ -211,7 +212,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
     return Rules(float(b - (raw * mean).sum()), [rules[i] for i in kept], [float(raw[i]) for i in kept])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", max_rows: int = 20_000) -> Rules:
+def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", max_rows: int = 20_000, **parameters) -> Rules:
     """Fit on a sample of at most `max_rows` labelled rows. At most so many ids are broadcast."""
     order = F.xxhash64(F.col("__id").cast("string"), F.lit(1))
     marked = labels.select(F.col(id_column).alias("__id"), F.col(label_column).cast("double").alias("__label")).where("__id is not null and __label is not null")
@@ -220,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     rows = with_statistics(texts.join(F.broadcast(sample), "__id"), ["__id", "__label"], "__doc")
     held = rows.orderBy(order, "__label", *STATISTICS).limit(max_rows).drop("__id").toArrow()
     x = np.column_stack([held.column(s).to_numpy() for s in STATISTICS]) if len(held) else np.zeros((0, len(STATISTICS)))
-    return fit(x, (held.column("__label").to_numpy() > 0.5).astype(float))
+    return fit(x, (held.column("__label").to_numpy() > 0.5).astype(float), **parameters)
 
 
 def classify(docs: DataFrame, rules: Rules, keep: list[str], text_column: str = "text", threshold: float = 0.3) -> DataFrame:

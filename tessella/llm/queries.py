@@ -75,4 +75,33 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc, op2_suffix_tree, op3_secrets, op4_decontaminate, op5_sentencepiece, op6_bag_minhash, op7_rule_ensemble, op8_multiset_hash, op9_chat_format, op10_license_scan)
 }
-ORACLES: dict[str, str] = {}
+#: Base32 of the SHA-1 in hexadecimal: every five digits are twenty bits, four characters.
+_OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)) AS c FROM d)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, array_to_string(c, '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b"""
+
+#: The rules of the windows (budget 512, history 64) and of the template, stated again.
+_OP9 = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) t(i)),
+t AS (SELECT *, 4 + CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER w - 1 AS place FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+u AS (SELECT *, coalesce(sum(tokens) OVER before, 0) AS start, 2 * sum(CAST(tokens > 112 AS INT)) OVER here - CAST(tokens > 112 AS INT) AS segment,
+        max(CASE WHEN place = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS system,
+        8 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&#124;')) + 5 + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS chars
+    FROM t WINDOW before AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), here AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, greatest(336 - system, 112) AS span, CAST(start // greatest(336 - system, 112) AS BIGINT) AS k FROM u),
+windows AS (SELECT DISTINCT conv_id, segment, k FROM v),
+history AS (SELECT v.conv_id, sum(v.chars) AS chars FROM v JOIN windows n ON n.conv_id = v.conv_id AND n.segment = v.segment AND n.k = v.k + 1
+    WHERE NOT (place = 0 AND role = 'system') AND tokens <= 112 AND (v.k + 1) * span - start <= 64 GROUP BY v.conv_id),
+later AS (SELECT n.conv_id, sum(s.chars) AS chars FROM windows n JOIN v s ON s.conv_id = n.conv_id AND s.place = 0 AND s.role = 'system' WHERE n.segment != s.segment OR n.k != s.k GROUP BY n.conv_id),
+whole AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+        coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM v GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(chars + coalesce((SELECT h.chars FROM history h WHERE h.conv_id = whole.conv_id), 0) + coalesce((SELECT l.chars FROM later l WHERE l.conv_id = whole.conv_id), 0) AS BIGINT) AS formatted_chars
+FROM whole"""
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op9_chat_format": _OP9}

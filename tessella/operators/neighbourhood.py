@@ -305,7 +305,10 @@ def label_regions(r: Raster, threshold: float | None = None, checkpoint=None) ->
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             import tempfile
 
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+            shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
         checkpoint = lambda d: d.checkpoint()
     place = (F.col("y").cast("bigint") * r.width + F.col("x")).alias("p")
     cells = r.df.where("band = 0")

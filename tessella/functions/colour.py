@@ -5,8 +5,11 @@ the shortest chain of conversions between two colour spaces."""
 
 from __future__ import annotations
 
+import json
 from collections import deque
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,6 +162,53 @@ def lch_to_ucs(v: Bands) -> Bands:
     return [lu, cu, hu]
 
 
+@cache
+def _ucs_tables() -> tuple[str, str, str]:
+    """Lightness and chroma at tenths of their UCS values, and hue at whole degrees for 101
+    chromas two apart: the forward curves of `lch_to_ucs`, inverted between their points."""
+    at = np.arange(3001) / 10.0
+    light = np.where(at < 16.0, at * 1.744, np.log(np.maximum(at, 1e-30)) * 21.75 + at * 0.3838 - 38.54)[:1001]
+    chroma = np.maximum(0.0, np.log(at * 0.07216 + 0.638) * 10.92 + at * 0.162 + 4.907)
+
+    def inverted(curve: np.ndarray) -> list[float]:
+        goal = at[: len(curve)]
+        above = np.clip(np.searchsorted(curve, goal, "right"), 1, len(curve) - 1)
+        low, rise = curve[above - 1], curve[above] - curve[above - 1]
+        return ((above - 1 + np.divide(goal - low, rise, out=np.zeros_like(goal), where=rise != 0)) / 10.0).tolist()
+
+    c, h = np.arange(101)[:, None] * 2.0, np.arange(361)[None, :] * 1.0
+    k4, k5, k6, k7, k8 = (np.select([h < row[0] for row in HUE_CURVE[:-1]], [row[i] for row in HUE_CURVE[:-1]], HUE_CURVE[-1][i]) for i in range(1, 6))
+    p = np.cos(np.radians(h * k7 + k8))
+    hue = h + (k4 + k5 * p * np.maximum(np.abs(p), 1e-300) ** k6) * np.sqrt(c**4 / (c**4 + 1900.0))
+    turns = []
+    for row in hue:
+        over = row[None, 1:360] > h.T
+        k = np.where(over.any(axis=1), over.argmax(axis=1) + 1, 360)
+        turns += (k - 1 + (h[0] - row[k - 1]) / (row[k] - row[k - 1])).tolist()
+    return json.dumps(inverted(light)), json.dumps(inverted(chroma)), json.dumps(turns)
+
+
+def _between(table: str, start: Column, v: Column, top: int) -> Column:
+    """A table's value at v, by straight lines between whole places 0 to top (and on beyond)."""
+    values = F.from_json(F.lit(table), "array<double>")
+    k = F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor(v))).cast("int")
+    low = F.get(values, start + k)
+    return low + (F.get(values, start + k + 1) - low) * (v - k)
+
+
+def _ucs_flat(v: Bands) -> Bands:
+    light, chroma, _ = _ucs_tables()
+    return [_between(light, F.lit(0), v[0] * 10, 1000), _between(chroma, F.lit(0), v[1] * 10, 3000), v[2]]
+
+
+def _ucs_turned(v: Bands) -> Bands:
+    row = F.greatest(F.lit(0), F.least(F.lit(99), ((v[1] + 1) / 2).cast("int")))
+    return [v[0], v[1], _between(_ucs_tables()[2], row * 361, v[2], 360)]
+
+
+ucs_to_lch = chain(_ucs_flat, _ucs_turned)
+
+
 def xyz_to_yxy(v: Bands) -> Bands:
     total = v[0] + v[1] + v[2]
     safe = F.when(total == 0, F.lit(1.0)).otherwise(total)
@@ -395,7 +445,7 @@ de00 = chain(_de00_chroma, _de00_stretch, _de00_polar, _de00_means, _de00_weight
 STEPS = {
     ("bw", "srgb"): bw_to_srgb, ("srgb", "scrgb"): srgb_to_scrgb, ("scrgb", "srgb"): scrgb_to_srgb, ("scrgb", "xyz"): scrgb_to_xyz, ("xyz", "scrgb"): xyz_to_scrgb,
     ("scrgb", "bw"): scrgb_to_bw, ("srgb", "hsv"): srgb_to_hsv, ("hsv", "srgb"): hsv_to_srgb, ("srgb", "rgb16"): srgb_to_rgb16, ("rgb16", "srgb"): rgb16_to_srgb,
-    ("xyz", "lab"): xyz_to_lab, ("lab", "xyz"): lab_to_xyz, ("lab", "lch"): lab_to_lch, ("lch", "lab"): lch_to_lab, ("lch", "ucs"): lch_to_ucs,
+    ("xyz", "lab"): xyz_to_lab, ("lab", "xyz"): lab_to_xyz, ("lab", "lch"): lab_to_lch, ("lch", "lab"): lch_to_lab, ("lch", "ucs"): lch_to_ucs, ("ucs", "lch"): ucs_to_lch,
     ("xyz", "yxy"): xyz_to_yxy, ("yxy", "xyz"): yxy_to_xyz, ("xyz", "oklab"): xyz_to_oklab, ("oklab", "xyz"): oklab_to_xyz, ("oklab", "oklch"): oklab_to_oklch,
     ("oklch", "oklab"): oklch_to_oklab, ("lab", "labq"): lab_to_labq, ("labq", "lab"): labq_to_lab, ("lab", "labs"): lab_to_labs, ("labs", "lab"): labs_to_lab,
     ("labq", "labs"): labq_to_labs, ("labs", "labq"): labs_to_labq, ("cmyk", "xyz"): cmyk_to_xyz, ("xyz", "cmyk"): xyz_to_cmyk,

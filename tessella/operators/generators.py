@@ -215,24 +215,20 @@ def gaussnoise(spark, width: int, height: int, mean: float = 128.0, sigma: float
 def perlin(spark, width: int, height: int, cell: int = 256, seed: int = 0) -> Raster:
     """Gradient noise on cells that wrap around, 0 to 1."""
     across, down = -(-width // cell), -(-height // cell)
-
-    def grad(cy, cx):
-        h = hash_add(hash_add(F.lit(seed).cast("bigint"), F.pmod(cy, F.lit(down)).cast("bigint")), F.pmod(cx, F.lit(across)).cast("bigint"))
-        a = h.bitwiseXOR(F.shiftright(h, 8)).bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(F.lit(255).cast("bigint")) * (2 * math.pi / 256)
-        return F.cos(a), F.sin(a)
-
-    def f(y, x):
-        cy, cx = F.floor(y / cell), F.floor(x / cell)
-        dy, dx = (y % cell) / float(cell), (x % cell) / float(cell)
-        smooth = lambda t: t * t * t * (t * (t * 6.0 - 15.0) + 10.0)
-        (ax, ay), (bx, by), (px, py), (qx, qy) = grad(cy, cx), grad(cy, cx + 1), grad(cy + 1, cx), grad(cy + 1, cx + 1)
-        n00, n10 = -dx * ax - dy * ay, (F.lit(1.0) - dx) * bx - dy * by
-        n01, n11 = -dx * px + (F.lit(1.0) - dy) * py, (F.lit(1.0) - dx) * qx + (F.lit(1.0) - dy) * qy
-        top, low = n00 + smooth(dx) * (n10 - n00), n01 + smooth(dx) * (n11 - n01)
-        n = top + smooth(dy) * (low - top)
-        return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), n)) + 1) * 0.5
-
-    return column_expression(spark, width, height, f)
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    place = lambda at, size, n: F.pmod(F.floor(F.col(at) / cell) + n, F.lit(size)).cast("bigint")
+    df = spark.range(width * height).selectExpr(f"cast(id div {width} as int) as y", f"cast(id % {width} as int) as x")
+    # Each stage reads the one before by name; inlined, the hashes would repeat in every term.
+    df = df.select("y", "x", *[hash_add(F.lit(seed).cast("bigint"), place("y", down, a)).alias(f"r{a}") for a in (0, 1)])
+    df = df.select("y", "x", *[hash_add(F.col(f"r{a}"), place("x", across, b)).alias(f"h{a}{b}") for a, b in corners])
+    turn = lambda h: h.bitwiseXOR(F.shiftright(h, 8)).bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(F.lit(255).cast("bigint")) * (2 * math.pi / 256)
+    df = df.select("y", "x", *[turn(F.col(f"h{a}{b}")).alias(f"t{a}{b}") for a, b in corners])
+    dy, dx = (F.col("y") % cell) / float(cell), (F.col("x") % cell) / float(cell)
+    df = df.select("y", "x", dy.alias("dy"), dx.alias("dx"), *[((F.lit(b) - dx) * F.cos(f"t{a}{b}") + (F.lit(a) - dy) * F.sin(f"t{a}{b}")).alias(f"n{a}{b}") for a, b in corners])
+    smooth = lambda c: F.col(c) * F.col(c) * F.col(c) * (F.col(c) * (F.col(c) * 6.0 - 15.0) + 10.0)
+    df = df.select("y", "x", smooth("dy").alias("sy"), *[(F.col(f"n{a}0") + smooth("dx") * (F.col(f"n{a}1") - F.col(f"n{a}0"))).alias(f"row{a}") for a in (0, 1)])
+    n = F.col("row0") + F.col("sy") * (F.col("row1") - F.col("row0"))
+    return from_wide(df.select("y", "x", ((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), n)) + 1) * 0.5).alias("n")), [F.col("n")], width, height)
 
 
 def _cells(across: int, down: int, cell: int, seed: int) -> dict[tuple[int, int], list[tuple[int, int]]]:

@@ -70,6 +70,26 @@ def register(c: Catalogue) -> None:
     t = f"(SELECT *, cos(radians(k7 * c + k8)) AS p FROM {t})"
     ucs = ["CASE WHEN a < 16 THEN 1.744 * a ELSE 21.75 * ln(a) + 0.3838 * a - 38.54 END", "greatest(0, 10.92 * ln(0.07216 * b + 0.638) + 0.162 * b + 4.907)", "c + (k4 + k5 * (CASE WHEN p = 0 THEN 0 ELSE p * pow(abs(p), k6) END)) * sqrt(pow(b, 4) / (pow(b, 4) + 1900))"]
     add("lch_to_ucs", chain(k.srgb_to_lab, k.lab_to_lch, k.lch_to_ucs), named([u.replace("ELSE 21.75 * ln(a)", "ELSE 21.75 * ln(greatest(a, 1e-30))") for u in ucs], t))
+    # The forward curves at the points of the tables, inverted by the first point above a goal.
+    fl = lambda v: ucs[0].replace("ELSE 21.75 * ln(a)", "ELSE 21.75 * ln(greatest(a, 1e-30))").replace("a <", f"{v} <").replace("* a", f"* {v}").replace("(a,", f"({v},")
+    grow = lambda v: f"greatest(0, 10.92 * ln(0.07216 * {v} + 0.638) + 0.162 * {v} + 4.907)"
+
+    def turned_back(n: str, size: int, curve: str) -> str:
+        return f"""{n}f AS MATERIALIZED (SELECT i, CAST({curve} AS DOUBLE) AS v FROM range(0, {size}) t(i)),
+            {n} AS MATERIALIZED (SELECT g.i, (g.j - 1 + CASE WHEN p.v = q.v THEN 0 ELSE (g.i / 10.0e0 - p.v) / (q.v - p.v) END) / 10.0e0 AS v
+                FROM (SELECT t.i, greatest(1, coalesce(min(f.i) FILTER (f.v > t.i / 10.0e0), {size - 1})) AS j FROM range(0, {size}) t(i), {n}f f GROUP BY t.i) g JOIN {n}f p ON p.i = g.j - 1 JOIN {n}f q ON q.i = g.j)"""
+
+    hk = [f"CASE {' '.join(f'WHEN h < {top} THEN {v[i]}e0' for top, *v in k.HUE_CURVE[:-1])} ELSE {k.HUE_CURVE[-1][i + 1]}e0 END AS k{i + 4}" for i in range(5)]
+    line = lambda n, v: f"({n}0.v + ({n}1.v - {n}0.v) * ({v}))"
+    back_lch = f"""(WITH {turned_back("li", 1001, fl("(i / 10.0e0)"))}, {turned_back("ci", 3001, grow("(i / 10.0e0)"))},
+        hf AS MATERIALIZED (SELECT j, h AS i, h + (k4 + k5 * (CASE WHEN p = 0 THEN 0 ELSE p * pow(abs(p), k6) END)) * sqrt(pow(2.0e0 * j, 4) / (pow(2.0e0 * j, 4) + 1900)) AS v FROM (SELECT *, cos(radians(k7 * h + k8)) AS p
+            FROM (SELECT j, h, {', '.join(hk)} FROM range(0, 101) a(j), range(0, 361) b(h)))),
+        hi AS MATERIALIZED (SELECT g.j, g.i, g.k - 1 + (g.i - p.v) / (q.v - p.v) AS v FROM (SELECT f.j, t.i, coalesce(min(f.i) FILTER (f.i BETWEEN 1 AND 359 AND f.v > t.i), 360) AS k FROM hf f, range(0, 361) t(i) GROUP BY f.j, t.i) g
+            JOIN hf p ON p.j = g.j AND p.i = g.k - 1 JOIN hf q ON q.j = g.j AND q.i = g.k),
+        u AS (SELECT *, CAST(greatest(0, least(999, floor(a * 10))) AS BIGINT) AS ka, CAST(greatest(0, least(2999, floor(b * 10))) AS BIGINT) AS kb, CAST(greatest(0, least(359, floor(c))) AS BIGINT) AS kc FROM {named([x.replace("ELSE 21.75 * ln(a)", "ELSE 21.75 * ln(greatest(a, 1e-30))") for x in ucs], t)}),
+        w AS (SELECT u.y, u.x, {line("l", "a * 10 - ka")} AS a, {line("c", "b * 10 - kb")} AS b, c, kc FROM u JOIN li l0 ON l0.i = ka JOIN li l1 ON l1.i = ka + 1 JOIN ci c0 ON c0.i = kb JOIN ci c1 ON c1.i = kb + 1)
+        SELECT w.y, w.x, a, b, {line("h", "c - kc")} AS c FROM w JOIN hi h0 ON h0.i = kc AND h0.j = greatest(0, least(99, CAST(trunc((b + 1) / 2) AS BIGINT))) JOIN hi h1 ON h1.i = kc + 1 AND h1.j = h0.j)"""
+    add("ucs_to_lch", chain(k.srgb_to_lab, k.lab_to_lch, k.lch_to_ucs, k.ucs_to_lch), back_lch)
     yxy = named(["b", "CASE WHEN a + b + c = 0 THEN 0 ELSE a / (a + b + c) END", "CASE WHEN a + b + c = 0 THEN 0 ELSE b / (a + b + c) END"], XYZ)
     add("xyz_to_yxy", chain(k.srgb_to_xyz, k.xyz_to_yxy), yxy)
     add("yxy_to_xyz", chain(k.srgb_to_xyz, k.xyz_to_yxy, k.yxy_to_xyz), named(["CASE WHEN b = 0 OR c = 0 THEN 0 ELSE a * b / c END", "a", "CASE WHEN b = 0 OR c = 0 THEN 0 ELSE a * (1 - b - c) / c END"], yxy))
@@ -143,5 +163,13 @@ def register(c: Catalogue) -> None:
 
     c.image("de76", diff(k.de76), f"SELECT y, x, sqrt((a - d) * (a - d) + (b - e) * (b - e) + (c - f) * (c - f)) AS v FROM {other}", True)
     c.image("decmc", diff(k.decmc, True), f"SELECT y, x, sqrt((a - d) * (a - d) + (b - e) * (b - e) + (c - f) * (c - f)) AS v FROM {other}", True)
-    c.image("de00", diff(k.de00), None, True)
+    p = f"(SELECT *, pow((sqrt(b * b + c * c) + sqrt(e * e + f * f)) / 2, 7) AS m FROM {other})"
+    p = f"(SELECT y, x, a, b * g AS b, c, d, e * g AS e, f FROM (SELECT *, 1.5e0 - 0.5e0 * sqrt(m / (m + 6103515625.0e0)) AS g FROM {p}))"
+    p = f"(SELECT y, x, d - a AS dl, (a + d) / 2 AS lm, sqrt(b * b + c * c) AS c1, sqrt(e * e + f * f) AS c2, {HUE.format(a='b', b='c')} AS h1, {HUE.format(a='e', b='f')} AS h2 FROM {p})"
+    p = f"""(SELECT *, (c1 + c2) / 2 AS cm, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS dh,
+        CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS hm FROM {p})"""
+    p = f"""(SELECT y, x, dl / (1 + 0.015e0 * pow(lm - 50, 2) / sqrt(20 + pow(lm - 50, 2))) AS u, (c2 - c1) / (1 + 0.045e0 * cm) AS v,
+        2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015e0 * cm * (1 - 0.17e0 * cos(radians(hm - 30)) + 0.24e0 * cos(radians(2 * hm)) + 0.32e0 * cos(radians(3 * hm + 6)) - 0.2e0 * cos(radians(4 * hm - 63)))) AS w,
+        -2 * sqrt(pow(cm, 7) / (pow(cm, 7) + 6103515625.0e0)) * sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) AS r FROM {p})"""
+    c.image("de00", diff(k.de00), f"SELECT y, x, sqrt(u * u + v * v + w * w + r * v * w) AS v FROM {p}", True)
     add("colourspace_route", k.conversion("srgb", "oklab"), ok)

@@ -63,15 +63,31 @@ def register(c: Catalogue) -> None:
         steps = f"(SELECT y, x, {''.join(f'n{j}, ' for j in range(1, i + 1))}{add('CAST(2166136261 AS BIGINT)', f'n{i}')} AS n{i + 1} FROM {steps})"
     total = " + ".join(f"n{i} / {float(g.MASK32)}e0" for i in range(1, 13))
     im("gaussnoise", lambda k: g.gaussnoise(k, W, H, 10.0, 2.0, 7), of(f"(({total}) - 6) * 2 + 10", steps))
-    im("gaussnoise_bands", lambda k: g.gaussnoise(k, W, H, 10.0, 2.0, 7, 3), None, band=True)
-    im("perlin", lambda k: g.perlin(k, W, H, 16, 3), None)
+    steps = f"(SELECT y, x, band, CAST(7 AS BIGINT) AS h0, CAST(x AS BIGINT) AS kx, CAST(y AS BIGINT) AS ky FROM {G}, range(0, 3) t(band))"
+    steps = f"(SELECT *, {add('h0', 'kx')} AS h1 FROM {steps})"
+    steps = f"(SELECT *, {add('h1', 'ky')} AS h2 FROM {steps})"
+    steps = f"(SELECT *, {add('h2', 'band')} AS n0 FROM {steps})"
+    for i in range(12):
+        steps = f"(SELECT y, x, band, {''.join(f'n{j}, ' for j in range(1, i + 1))}{add('CAST(2166136261 AS BIGINT)', f'n{i}')} AS n{i + 1} FROM {steps})"
+    im("gaussnoise_bands", lambda k: g.gaussnoise(k, W, H, 10.0, 2.0, 7, 3), f"SELECT y, x, band, (({total}) - 6) * 2 + 10 AS v FROM {steps}", band=True)
+    # Corners of a cell are numbered by row and column: 00, 01, 10, 11.
+    corners = [(a, b) for a in (0, 1) for b in (0, 1)]
+    noise = f"(SELECT y, x, y % 16 / 16.0e0 AS dy, x % 16 / 16.0e0 AS dx, CAST(y // 16 AS BIGINT) AS cy, CAST(x // 16 AS BIGINT) AS cx FROM {G})"
+    noise = f"(SELECT *, {', '.join(add('CAST(3 AS BIGINT)', f'((cy + {a}) % 3)') + f' AS r{a}{b}' for a, b in corners)} FROM {noise})"
+    noise = f"(SELECT *, {', '.join(add(f'r{a}{b}', f'((cx + {b}) % 4)') + f' AS h{a}{b}' for a, b in corners)} FROM {noise})"
+    noise = f"(SELECT *, {', '.join(f'(xor(xor(h{a}{b}, h{a}{b} >> 8), h{a}{b} >> 16) & 255) * (pi() / 128) AS t{a}{b}' for a, b in corners)} FROM {noise})"
+    noise = f"(SELECT *, {', '.join(f'({b} - dx) * cos(t{a}{b}) + ({a} - dy) * sin(t{a}{b}) AS n{a}{b}' for a, b in corners)}, 6 * pow(dx, 5) - 15 * pow(dx, 4) + 10 * pow(dx, 3) AS sx, 6 * pow(dy, 5) - 15 * pow(dy, 4) + 10 * pow(dy, 3) AS sy FROM {noise})"
+    im("perlin", lambda k: g.perlin(k, W, H, 16, 3), of("(greatest(-1, least(1, (n00 + sx * (n01 - n00)) * (1 - sy) + (n10 + sx * (n11 - n10)) * sy)) + 1) / 2", noise))
     cells = g._cells(4, 3, 16, 5)
     feats = ", ".join(f"({cy}, {cx}, {fy}, {fx})" for cy in range(3) for cx in range(4) for a in (-1, 0, 1) for b in (-1, 0, 1) for fy, fx in cells[(cy + a) % 3, (cx + b) % 4])
     im("worley", lambda k: g.worley(k, W, H, 16, 5), f"SELECT y, x, least(1, min(sqrt(CAST((fy - y) * (fy - y) + (fx - x) * (fx - x) AS DOUBLE))) / 24.0e0) AS v FROM {G} JOIN (VALUES {feats}) f(cy, cx, fy, fx) ON cy = y // 16 AND cx = x // 16 GROUP BY y, x")
     im("sdf_circle", lambda k: g.sdf_circle(k, W, H, 30, 20, 12), of("sqrt(CAST((x - 30) * (x - 30) + (y - 20) * (y - 20) AS DOUBLE)) - 12"))
     dx, dy = "(abs(x - 25.0e0) - 15)", "(abs(y - 20.0e0) - 10)"
     im("sdf_rect", lambda k: g.sdf_rect(k, W, H, 10, 10, 40, 30), of(f"sqrt(greatest({dx}, 0) * greatest({dx}, 0) + greatest({dy}, 0) * greatest({dy}, 0)) + least(greatest({dx}, {dy}), 0)"))
-    im("point", lambda k: g.point(k, W, H, 20, 3), None, False)
+    chained = f"""WITH RECURSIVE c(i, h) AS (SELECT 0, CAST(3 AS BIGINT) UNION ALL SELECT i + 1, {add('CAST(2166136261 AS BIGINT)', 'h')} FROM c WHERE i < 400),
+        p AS (SELECT (i - 1) // 2 AS k, max(h) FILTER (i % 2 = 1) % {W} AS px, max(h) FILTER (i % 2 = 0) % {H} AS py FROM c WHERE i > 0 GROUP BY (i - 1) // 2),
+        f AS (SELECT px, py FROM p GROUP BY px, py ORDER BY min(k) LIMIT 20)"""
+    im("point", lambda k: g.point(k, W, H, 20, 3), f"{chained} SELECT y, x, CASE WHEN px IS NULL THEN 0 ELSE 255 END AS v FROM {G} LEFT JOIN f ON px = x AND py = y", False)
     im("fractsurf", lambda k: g.fractsurf(k, W, H), None)
     fm = f"(SELECT y, x, ((x + 32) % 64 - 32) / 32.0e0 AS dx, ((y + 24) % 48 - 24) / 24.0e0 AS dy FROM {G})"
     fm = f"(SELECT *, dx * dx + dy * dy AS q, (dx - 0.5e0) * (dx - 0.5e0) + (dy - 0.5e0) * (dy - 0.5e0) AS d1, (dx + 0.5e0) * (dx + 0.5e0) + (dy + 0.5e0) * (dy + 0.5e0) AS d2 FROM {fm})"

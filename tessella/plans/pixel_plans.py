@@ -188,6 +188,23 @@ def register(c: Catalogue) -> None:
         "difference": "abs(b - t)", "exclusion": "b + t - 2 * b * t",
     }
     tail = "SELECT y, x, 0 AS band, floor(least(1, CASE WHEN al = 0 THEN 0 ELSE c / al END) * 255 + 0.5) AS v FROM q UNION ALL SELECT y, x, 1, floor(al * 255 + 0.5) FROM q"
+    # Modes of whole colours: the base is (r, g, b) with alpha r, the overlay its negative with alpha g.
+    lum = lambda n: f"(0.3e0 * {n}0 + 0.59e0 * {n}1 + 0.11e0 * {n}2)"
+    ends = lambda n: ", ".join(f"{n}{i}" for i in range(3))
+    three_of = lambda e, n: ", ".join(e.replace("#", str(i)) + f" AS {n}{i}" for i in range(3))
+
+    def whole_blend(mode: str) -> str:
+        colour = {"hue": "CASE WHEN st = 0 THEN 0 ELSE (t# - nt) / st * sb END", "saturation": "CASE WHEN sb = 0 THEN 0 ELSE (b# - nb) / sb * st END", "colour": "t#", "luminosity": "b#"}[mode]
+        q = f"(SELECT y, x, r / 255.0e0 AS b0, g / 255.0e0 AS b1, b / 255.0e0 AS b2, (255 - r) / 255.0e0 AS t0, (255 - g) / 255.0e0 AS t1, (255 - b) / 255.0e0 AS t2, r / 255.0e0 AS ab, g / 255.0e0 AS ta FROM {RGB})"
+        q = f"(SELECT *, least({ends('b')}) AS nb, least({ends('t')}) AS nt, greatest({ends('b')}) - least({ends('b')}) AS sb, greatest({ends('t')}) - least({ends('t')}) AS st FROM {q})"
+        q = f"(SELECT *, {three_of(colour, 'c')} FROM {q})"
+        q = f"(SELECT *, {three_of(f'c# + ({lum(dict(luminosity=chr(116)).get(mode, chr(98)))} - {lum(chr(99))})', 's')} FROM {q})"
+        q = f"(SELECT *, {lum('s')} AS l, least({ends('s')}) AS low, greatest({ends('s')}) AS top FROM {q})"
+        q = f"(SELECT *, {three_of('CASE WHEN low < 0 THEN l + (s# - l) * l / (l - low) ELSE s# END', 'n')} FROM {q})"
+        q = f"(SELECT *, ta + ab - ta * ab AS al, {three_of('CASE WHEN top > 1 THEN l + (n# - l) * (1 - l) / (top - l) ELSE n# END', 'm')} FROM {q})"
+        one = "SELECT y, x, # AS band, greatest(0, least(255, floor(CASE WHEN al = 0 THEN 0 ELSE ((1 - ab) * ta * t# + (1 - ta) * ab * b# + ta * ab * m#) / al END * 255 + 0.5))) AS v FROM q"
+        return f"WITH q AS {q} " + " UNION ALL ".join(one.replace("#", str(i)) for i in range(3)) + " UNION ALL SELECT y, x, 3, floor(al * 255 + 0.5) FROM q"
+
     for mode in bands.MODES:
         name = f"composite_{mode.replace('-', '_')}"
         if mode in duff:
@@ -196,6 +213,6 @@ def register(c: Catalogue) -> None:
         elif mode in mixes:
             sql = f"WITH q AS (SELECT y, x, ta + ab - ta * ab AS al, (1 - ab) * ta * t + (1 - ta) * ab * b + ta * ab * ({mixes[mode]}) AS c FROM {quad}) {tail}"
         else:
-            c.image(name, lambda k, d, m=mode: bands.composite(rgba(k, d), bands.bandjoin(rgb(k, d).map(lambda v: s.invert(v, s.U8)), bands.bandsplit(rgb(k, d), 1)), m), band=True)
+            c.image(name, lambda k, d, m=mode: bands.composite(rgba(k, d), bands.bandjoin(rgb(k, d).map(lambda v: s.invert(v, s.U8)), bands.bandsplit(rgb(k, d), 1)), m), whole_blend(mode), band=True)
             continue
         c.image(name, lambda k, d, m=mode: bands.composite(base(k), over(k), m), sql, band=True)

@@ -93,7 +93,8 @@ def register(c: Catalogue) -> None:
     def labs(k, d):
         return neighbourhood.labs_sharpen(ramp(k).map(lambda v: v * 100, s.I16), 1.5)
 
-    im("labs_sharpen", labs)
+    soft = f"(WITH r AS (SELECT y, x, v * 100 AS v FROM {RAMP}), h AS {conv([g], 'r')} SELECT r.y, r.x, r.v, (r.v - b.v) / 327.67e0 AS d FROM r JOIN {conv(gc, 'h')} b USING (y, x))"
+    im("labs_sharpen", labs, f"SELECT y, x, floor(v + greatest(-20, least(10, CASE WHEN abs(d) <= 2 THEN 0 WHEN d > 0 THEN 3 * (d - 2) ELSE 3 * (d + 2) END)) * 327.67e0 + 0.5) AS v FROM {soft}")
     for name, m in (("sobel", neighbourhood.SOBEL), ("scharr", neighbourhood.SCHARR), ("prewitt", neighbourhood.PREWITT)):
         t = neighbourhood._turned(m)
         pair = f"(SELECT a.y, a.x, a.v AS a, b.v AS b FROM {conv(m)} a JOIN {conv(t)} b USING (y, x))"
@@ -222,3 +223,13 @@ def register(c: Catalogue) -> None:
     im("lrmosaic", lambda k, d: mosaic.auto_mosaic(*pair(k), "horizontal", 31, 5, 2, 6, 3), RAMP)
     im("tbmosaic", lambda k, d: mosaic.auto_mosaic(ramp(k), geometry.extract_area(ramp(k), 0, 20, 64, 28), "vertical", 5, 21, 5, 2, 2), RAMP)
     im("remosaic", lambda k, d: mosaic.remosaic(ramp(k), 0.8), f"SELECT y, x, floor(v * 0.8e0 + 0.5) AS v FROM {RAMP}")
+    ties = [(10.0, 20.0, 4.0, 3.0), (60.0, 25.0, 54.0, 8.0), (30.0, 70.0, 24.0, 53.0), (5.0, 5.0, 90.0, 1.0), (80.0, 90.0, 74.0, 73.0)]
+    c.table("match", lambda k, d: k.createDataFrame([tuple(round(v, 6) + 0.0 for v in mosaic.match(ties[:3]))], "a double, b double, c double, d double, tx double, ty double"), "SELECT 1.0e0 AS a, 0.0e0 AS b, 0.0e0 AS c, 1.0e0 AS d, 6.0e0 AS tx, 17.0e0 AS ty")
+    c.table("chkpair", lambda k, d: k.createDataFrame([(i,) for i in mosaic.chkpair(ties, 0.5)], "pair int"), "SELECT CAST(unnest([0, 1, 2, 4]) AS INT) AS pair")
+
+    def balanced(k, d):
+        sides = [ramp(k).df.selectExpr("0 AS overlap", "0 AS tile", "v"), other(k).df.selectExpr("0 AS overlap", "1 AS tile", "v")]
+        return k.createDataFrame([(i, round(v, 6)) for i, v in enumerate(mosaic.global_balance(sides[0].union(sides[1]), 2))], "tile int, gain double")
+
+    means = f"(SELECT (SELECT avg(v) FROM {RAMP}) AS a, (SELECT avg(v) FROM {OTHER}) AS b)"
+    c.table("global_balance", balanced, f"SELECT 0 AS tile, round(sqrt(b / a), 6) AS gain FROM {means} UNION ALL SELECT 1, round(sqrt(a / b), 6) FROM {means}")

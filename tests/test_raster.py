@@ -148,3 +148,20 @@ def test_entry_survives_without_llm(monkeypatch):
     monkeypatch.setattr(e, "_llm", None)
     monkeypatch.setattr(e, "_pipeline", None)
     assert "invert" in e.queries() and "pipeline" not in e.queries() and not any(k.startswith("op1_") for k in e.queries())
+
+
+def test_ucs_and_back(spark):
+    """Lightness and chroma come back; hue too at even chromas, while at odd ones the
+    table's row is that of the next chroma, which turns hue by some degrees near grey."""
+    from pyspark.sql import functions as F
+
+    from tessella.functions import colour
+
+    rows = [(float(i), float(l), float(c), float(h)) for i, (l, c, h) in enumerate((l, c, h) for l in (0, 3, 16, 55, 100) for c in (0, 7, 8, 60, 131) for h in (5, 45, 120, 200, 300, 350))]
+    df, cols = spark.createDataFrame(rows, "i double, l double, c double, h double"), ["l", "c", "h"]
+    for f in (*colour.steps(colour.lch_to_ucs), *colour.steps(colour.ucs_to_lch)):
+        df = df.select("i", *[v.alias(n) for v, n in zip(f([F.col(n) for n in cols]), cols, strict=True)])
+    got = {r["i"]: r for r in df.collect()}
+    for i, l, c, h in rows:
+        assert abs(got[i]["l"] - l) < 0.02 and abs(got[i]["c"] - c) < 0.05
+        assert c == 0 or min(abs(got[i]["h"] - h), 360 - abs(got[i]["h"] - h)) < (0.2 if c % 2 == 0 else 2.5), (l, c, h, got[i])

@@ -174,8 +174,19 @@ def register(c: Catalogue) -> None:
 
     index = lambda k: column_expression(k, 40, 30, lambda y, x: [x * 1.25 + 3.5, y * 1.5 + 0.25])
     im("mapim", lambda k, d: resample.mapim(real(k), index(k)), f"SELECT * FROM {lin('y * 1.5e0 + 0.25', 'x * 1.25e0 + 3.5', 40, 30)}", True)
-    for kernel in ("cubic", "nohalo", "lbb", "vsqbs", "lanczos3"):
-        im(f"affine_{kernel}", lambda k, d, n=kernel: resample.affine(real(k), (0.8, 0.1, -0.1, 0.9), 2.5, 3.25, 30, 20, n), None, True)
+    # Of the other kernels: the taps of each place with their weights, of d the distance.
+    spread = lambda taps: f"""WITH g AS (SELECT CAST(i // 30 AS INT) AS y, CAST(i % 30 AS INT) AS x FROM range(0, 600) t(i)), p AS (SELECT y, x, x * -0.1e0 + y * 0.9e0 + 3.25 AS sy, x * 0.8e0 + y * 0.1e0 + 2.5 AS sx FROM g),
+        s AS (SELECT *, floor(sy) AS fy, floor(sx) AS fx, sy - floor(sy) AS dy, sx - floor(sx) AS dx FROM p WHERE sy BETWEEN -0.5 AND 47.5 AND sx BETWEEN -0.5 AND 63.5), w AS ({taps}),
+        t AS (SELECT w.y, w.x, sum(w.w * q.v) / sum(w.w) AS v FROM w JOIN {RAMP} q ON q.y = greatest(0, least(47, w.qy)) AND q.x = greatest(0, least(63, w.qx)) GROUP BY w.y, w.x) SELECT g.y, g.x, coalesce(t.v, 0) AS v FROM g LEFT JOIN t USING (y, x)"""
+    cubic = lambda d: f"(CASE WHEN {d} < 1 THEN 1.5e0 * {d} * {d} * {d} - 2.5e0 * {d} * {d} + 1 WHEN {d} < 2 THEN -0.5e0 * {d} * {d} * {d} + 2.5e0 * {d} * {d} - 4 * {d} + 2 ELSE 0 END)"
+    lanczos = lambda d: f"(CASE WHEN {d} < 2.3e-16 THEN 1 WHEN {d} < 3 THEN 3 * sin(pi() * {d}) * sin(pi() * {d} / 3) / (pi() * pi() * {d} * {d}) ELSE 0 END)"
+    b_spline = lambda d: f"(CASE WHEN {d} < 0.5 THEN 0.75e0 - {d} * {d} WHEN {d} < 1.5 THEN (1.5e0 - {d}) * (1.5e0 - {d}) / 2 ELSE 0 END)"
+    apart = lambda f, reach: f"SELECT y, x, fy + a AS qy, fx + b AS qx, {f('abs(dy - a)')} * {f('abs(dx - b)')} AS w FROM s, range({1 - reach}, {reach + 1}) k(a), range({1 - reach}, {reach + 1}) l(b)"
+    # Splits a, b of the samples before and after a place; each is half its sample and a quarter of two neighbours.
+    split = f"""SELECT y, x, fy + a // 2 + m.v * (a % 2 * 2 - 1) AS qy, fx + b // 2 + m.h * (b % 2 * 2 - 1) AS qx, {b_spline('abs(2 * dy + 0.5e0 - a)')} * {b_spline('abs(2 * dx + 0.5e0 - b)')} * m.part AS w
+        FROM s, range(0, 4) k(a), range(0, 4) l(b), (VALUES (0, 0, 0.5e0), (1, 0, 0.25e0), (0, 1, 0.25e0)) m(v, h, part)"""
+    for kernel, taps in (("cubic", apart(cubic, 2)), ("nohalo", None), ("lbb", None), ("vsqbs", split), ("lanczos3", apart(lanczos, 3))):
+        im(f"affine_{kernel}", lambda k, d, n=kernel: resample.affine(real(k), (0.8, 0.1, -0.1, 0.9), 2.5, 3.25, 30, 20, n), taps and spread(taps), True)
     im("resize_shrink", lambda k, d: resample.resize(real(k), 0.25, kernel="nearest"), f"SELECT y // 4 AS y, x // 4 AS x, avg(v) AS v FROM {RAMP} GROUP BY y // 4, x // 4", True)
     im("resize_lanczos", lambda k, d: resample.resize(ramp(k), 0.3), None)
     im("resize_enlarge", lambda k, d: resample.resize(ramp(k), 2.0, kernel="nearest"), f"SELECT y * 2 + k // 2 AS y, x * 2 + k % 2 AS x, v FROM {RAMP}, range(0, 4) t(k)")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessella.functions import colour, samples
-from tessella.operators import bands, frequency, geometry, mosaic, neighbourhood, reducers
+from tessella.operators import bands, frequency, geometry, mosaic, neighbourhood, reducers, resample
 from tessella.plans.images import other, ramp
 from tessella.raster import from_values
 from tessella.sources import codecs
@@ -165,3 +165,88 @@ def test_ucs_and_back(spark):
     for i, l, c, h in rows:
         assert abs(got[i]["l"] - l) < 0.02 and abs(got[i]["c"] - c) < 0.05
         assert c == 0 or min(abs(got[i]["h"] - h), 360 - abs(got[i]["h"] - h)) < (0.2 if c % 2 == 0 else 2.5), (l, c, h, got[i])
+
+
+def _patch(n, fy, fx):
+    """A locally bounded bicubic patch of a 4 x 4 array, by a solved Hermite system."""
+    basis = lambda t: np.array([1, t, t * t, t**3])
+    slope = lambda t: np.array([0, 1, 2 * t, 3 * t * t])
+    rows, want = [], []
+    for a in (0, 1):
+        for b in (0, 1):
+            i, j = a + 1, b + 1
+            z, beside = n[i, j], [n[i, j], n[i - 1, j], n[i + 1, j], n[i, j - 1], n[i, j + 1]]
+            u, v = z - min(beside), max(beside) - z
+            dx, dy = (np.clip(d / 2, -3 * min(u, v), 3 * min(u, v)) for d in (n[i, j + 1] - n[i, j - 1], n[i + 1, j] - n[i - 1, j]))
+            dxy = (n[i + 1, j + 1] - n[i + 1, j - 1] - n[i - 1, j + 1] + n[i - 1, j - 1]) / 4
+            for low, high in ((3 * abs(dx + dy) - 9 * u, 9 * v - 3 * abs(dx + dy)), (3 * abs(dx - dy) - 9 * v, 9 * u - 3 * abs(dx - dy))):
+                dxy = min(max(dxy, low), high)
+            for f, g, value in ((basis, basis, z), (basis, slope, dx), (slope, basis, dy), (slope, slope, dxy)):
+                rows.append(np.outer(f(a), g(b)).ravel())
+                want.append(value)
+    return float(np.outer(basis(fy), basis(fx)).ravel() @ np.linalg.solve(np.array(rows), np.array(want)))
+
+
+def _dense(z):
+    """A nohalo subdivision of an array, each sample at even places; its rim is not defined."""
+    def slopes(d):
+        a, b = d[:-1], d[1:]
+        return np.where(a * b > 0, np.sign(a) * np.minimum(abs(a), abs(b)), 0)
+
+    h, w = z.shape
+    sy, sx = np.zeros_like(z), np.zeros_like(z)
+    sy[1:-1], sx[:, 1:-1] = slopes(np.diff(z, axis=0)), slopes(np.diff(z, axis=1).T).T
+    out = np.zeros((2 * h - 1, 2 * w - 1))
+    for y in range(2 * h - 1):
+        for x in range(2 * w - 1):
+            near = [(p, q) for p in {y // 2, -(-y // 2)} for q in {x // 2, -(-x // 2)}]
+            out[y, x] = np.mean([z[p, q] + sy[p, q] * (y / 2 - p) + sx[p, q] * (x / 2 - q) for p, q in near])
+    return out
+
+
+@pytest.mark.parametrize("kernel", ["lbb", "nohalo", "vsqbs"])
+def test_local_kernels_against_brute_force(spark, kernel):
+    rng = np.random.default_rng(4)
+    z = np.cumsum(rng.integers(-40, 50, (6, 7)), axis=1).astype(float)
+    z[2, 3:] += 300
+    image = from_values(spark, z.tolist())
+    got = {(r.y, r.x): r.v for r in resample.affine(image, (0.37, 0.11, -0.07, 0.41), 0.6, 1.3, 12, 9, kernel, -1.0).df.collect()}
+    pad = np.pad(z, 4, mode="edge")
+    dense, seen = _dense(pad), 0
+    for (y, x), v in got.items():
+        sy, sx = x * -0.07 + y * 0.41 + 1.3, x * 0.37 + y * 0.11 + 0.6
+        if not (-0.5 <= sy <= 5.5 and -0.5 <= sx <= 6.5):
+            assert v == -1
+            continue
+        y0, x0 = int(np.floor(sy)), int(np.floor(sx))
+        if kernel == "lbb":
+            want = _patch(pad[y0 + 3 : y0 + 7, x0 + 3 : x0 + 7], sy - y0, sx - x0)
+        elif kernel == "nohalo":
+            p, q = 2 * (sy + 4), 2 * (sx + 4)
+            i, j = int(np.floor(p)), int(np.floor(q))
+            want = _patch(dense[i - 1 : i + 3, j - 1 : j + 3], p - i, q - j)
+        else:
+            # Splits stand at a quarter's distance from their sample.
+            want = 0.0
+            for i in range(1, 2 * pad.shape[0] - 1):
+                for j in range(1, 2 * pad.shape[1] - 1):
+                    a, b = abs(2 * (sy + 4) + 0.5 - i), abs(2 * (sx + 4) + 0.5 - j)
+                    if a < 1.5 and b < 1.5:
+                        wa, wb = (0.75 - t * t if t < 0.5 else (1.5 - t) ** 2 / 2 for t in (a, b))
+                        c, d = i // 2, j // 2
+                        want += wa * wb * (2 * pad[c, d] + pad[c + (1 if i % 2 else -1), d] + pad[c, d + (1 if j % 2 else -1)]) / 4
+        assert v == pytest.approx(want, abs=1e-8)
+        near = pad[max(y0 + 2, 0) : y0 + 8, max(x0 + 2, 0) : x0 + 8]
+        assert near.min() - 1e-9 <= v <= near.max() + 1e-9
+        seen += 1
+    assert seen > 60
+    whole = resample.affine(image, (1.0, 0.0, 0.0, 1.0), 0.0, 0.0, 7, 6, kernel).df.collect()
+    assert kernel == "vsqbs" or all(r.v == pytest.approx(z[r.y, r.x]) for r in whole)
+
+
+def test_split_spline_of_known_values(spark):
+    image = from_values(spark, [[0.0, 64.0], [128.0, 255.0]])
+    out = resample.warp(image, 4, 4, resample.F.col("y") * 0.5 + 0.25, resample.F.col("x") * 0.5 + 0.25, "vsqbs", extend="copy").df.orderBy("y", "x").collect()
+    # An enlargement of these four samples, edges extended, cut to whole numbers.
+    known = [57, 96, 115, 118, 124, 169, 198, 201, 159, 214, 245, 249, 164, 219, 251, 255]
+    assert all(abs(r.v - k) < 1 for r, k in zip(out, known, strict=True))

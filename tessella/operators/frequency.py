@@ -19,20 +19,26 @@ from .bands import complex_form, extract_bands
 from .geometry import wrap
 
 
+#: Samples that are transformed at a time.
+CELLS = 1 << 20
+
+
 def _lines(df: DataFrame, keys: list[str], line: str, along: str, size: int, inverse: bool) -> DataFrame:
     cells = F.array_sort(F.collect_list(F.struct(along, "re", "im")))
     rows = df.groupBy(*keys, line).agg(cells.alias("c")).select(*keys, line, F.transform("c", lambda c: c["re"]).alias("re"), F.transform("c", lambda c: c["im"]).alias("im"))
     n = len(keys) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            outs = [[], []]
-            for re, im in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                z = np.array(re) + 1j * np.array(im)
+        at_once = max(1, CELLS // size)
+        for whole in batches:
+            for k in range(0, whole.num_rows, at_once):
+                b = whole.slice(k, at_once)
+                re, im = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, size) for c in (n, n + 1))
+                z = re + 1j * im
                 z = np.fft.ifft(z) * size if inverse else np.fft.fft(z)
-                outs[0].append(z.real)
-                outs[1].append(z.imag)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(o, pa.list_(pa.float64())) for o in outs]], names=b.schema.names)
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(size))
+                outs = [pa.ListArray.from_arrays(ends, pa.array(part.ravel())) for part in (z.real, z.imag)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *outs], names=b.schema.names)
 
     done = rows.mapInArrow(run, rows.schema)
     cell = F.posexplode(F.arrays_zip("re", "im")).alias(along, "z")

@@ -8,7 +8,10 @@ with its edge samples: each sample on an edge also stands for the places outside
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -277,10 +280,47 @@ def nearest(r: Raster) -> Raster:
     above = F.last(hit, ignorenulls=True).over(col.orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(hit, ignorenulls=True).over(col.orderBy("y").rowsBetween(0, Window.unboundedFollowing))
     d = r.df.withColumn("d", F.least(F.col("y") - above, below - F.col("y"))).select(*r.keys, "band", "y", "x", "d")
-    row = d.where("d is not null").groupBy(*r.keys, "band", "y").agg(F.collect_list(F.struct("x", "d")).alias("c"))
-    best = F.array_min(F.transform("c", lambda e: (e["x"] - F.col("x")) * (e["x"] - F.col("x")) + e["d"] * e["d"]))
-    out = d.drop("d").join(row, [*r.keys, "band", "y"], "left").withColumn("v", F.coalesce(F.sqrt(best.cast("double")), F.lit(float("inf"))))
-    return r.with_df(out, fmt=s.F64)
+    row = d.groupBy(*r.keys, "band", "y").agg(F.array_sort(F.collect_list(F.struct("x", "d"))).alias("c"))
+    row = row.select(*r.keys, "band", "y", F.transform("c", lambda e: e["x"]).alias("x"), F.transform("c", lambda e: F.coalesce(e["d"], F.lit(-1))).alias("d"))
+    done = row.mapInArrow(_row_distances, row.select(*r.keys, "band", "y", "x", F.array().cast("array<double>").alias("v")).schema)
+    cells = done.select(*r.keys, "band", "y", F.explode(F.arrays_zip("x", "v")).alias("e"))
+    return r.with_df(cells.select(*r.keys, "band", "y", "e.x", "e.v"), fmt=s.F64)
+
+
+def _row_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (..., x, d), d the distance inside the column or -1: the distance of each x to
+    the nearest sample, by the lower envelope of the columns' parabolas, linear in the width."""
+    for b in batches:
+        xs, ds, out = b.column("x"), b.column("d"), []
+        ends = xs.offsets.to_numpy()
+        x, d = (np.asarray(c.values)[ends[0] : ends[-1]].astype(np.int64) for c in (xs, ds))
+        for lo, hi in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True):
+            out.append(_envelope(x[lo:hi], d[lo:hi]))
+        v = pa.array(np.concatenate([np.zeros(0), *out]))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), v)], names=[*b.schema.names[:-1], "v"])
+
+
+def _envelope(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """sqrt(min over sites (x - site)^2 + d^2) for ascending x; d of -1 is no site."""
+    sites = [(int(a), int(g) * int(g)) for a, g in zip(x[d >= 0], d[d >= 0], strict=True)]
+    if not sites:
+        return np.full(len(x), np.inf)
+    # Of the envelope each parabola (site, height) with the first whole x where it is lowest.
+    held: list[tuple[int, int, int]] = []
+    for a, g in sites:
+        begin = int(x[0])
+        while held:
+            b, h, since = held[-1]
+            if (since - b) ** 2 + h > (since - a) ** 2 + g:
+                held.pop()
+                continue
+            begin = (a * a - b * b + g - h) // (2 * (a - b)) + 1
+            break
+        if begin <= x[-1]:
+            held.append((a, g, begin))
+    a, g, begin = (np.array(c) for c in zip(*held, strict=True))
+    at = np.searchsorted(begin, x, side="right") - 1
+    return np.sqrt(((x - a[at]) ** 2 + g[at]).astype(float))
 
 
 def count_lines(r: Raster, direction: str = "horizontal"):
@@ -293,6 +333,10 @@ def count_lines(r: Raster, direction: str = "horizontal"):
     return steps.groupBy(*r.keys, "band").agg((F.sum("up") / n).alias("lines"))
 
 
+#: Places of a scan in which regions are numbered together.
+BLOCK = 1 << 20
+
+
 def label_regions(r: Raster, threshold: float | None = None, checkpoint=None) -> Raster:
     """4-connected regions, numbered by their first sample in scan order.
 
@@ -330,7 +374,12 @@ def label_regions(r: Raster, threshold: float | None = None, checkpoint=None) ->
         label = new.drop("was")
     from pyspark.sql import Window
 
-    roots = new.where("p = l").select(*keys, "l", F.row_number().over(Window.partitionBy(*keys).orderBy("l")).alias("v"))
+    # Numbers inside blocks of the scan, and of each block how many regions begin before it.
+    roots = new.where("p = l").select(*keys, "l", F.expr(f"l div {BLOCK}").alias("block"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = roots.groupBy(*keys, "block").agg(F.count("*").alias("n")).select(*keys, "block", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("l"))
+    roots = roots.withColumn("v", inside).join(blocks, [*keys, "block"]).select(*keys, "l", (F.col("v") + F.col("before")).alias("v"))
     named = new.join(roots, [*keys, "l"]).select(*keys, F.expr(f"cast(p div {r.width} as int)").alias("y"), (F.col("p") % r.width).cast("int").alias("x"), F.lit(0).alias("band"), F.col("v").cast("bigint").alias("v"))
     out = r.with_df(named, bands=1, fmt=s.U32)
     if threshold is None:

@@ -250,3 +250,31 @@ def test_split_spline_of_known_values(spark):
     # An enlargement of these four samples, edges extended, cut to whole numbers.
     known = [57, 96, 115, 118, 124, 169, 198, 201, 159, 214, 245, 249, 164, 219, 251, 255]
     assert all(abs(r.v - k) < 1 for r, k in zip(out, known, strict=True))
+
+
+def test_nearest_of_wide_rows_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    z = (rng.random((9, 70)) < 0.02) * 3.0
+    z[:, 30:50] = 0
+    got = grid(neighbourhood.nearest(from_values(spark, z.tolist())))
+    hits = np.argwhere(z)
+    assert np.allclose(got, [[np.hypot(*(hits - [y, x]).T).min() for x in range(70)] for y in range(9)])
+    none = neighbourhood.nearest(from_values(spark, [[0.0] * 4] * 3)).df
+    assert none.count() == 12 and none.where("v != double('inf')").count() == 0
+
+
+def test_labels_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbourhood, "BLOCK", 7)
+    z = np.random.default_rng(9).integers(0, 2, (6, 9)).astype(float)
+    got = grid(neighbourhood.label_regions(from_values(spark, z.tolist())))
+    want, seen = np.zeros((6, 9)), 0
+    for y, x in np.ndindex(6, 9):
+        if not want[y, x]:
+            seen += 1
+            todo = [(y, x)]
+            while todo:
+                p, q = todo.pop()
+                if 0 <= p < 6 and 0 <= q < 9 and not want[p, q] and z[p, q] == z[y, x]:
+                    want[p, q] = seen
+                    todo += [(p + 1, q), (p - 1, q), (p, q + 1), (p, q - 1)]
+    assert seen > 7 and (np.asarray(got) == want).all()

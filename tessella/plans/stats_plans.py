@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import samples as s
-from ..operators import bands, frequency, geometry, reducers
+from ..operators import bands, frequency, reducers
 from .images import EMB, HEAT, OTHER, RAMP, RGB, U8, Catalogue, emb, heat, other, ramp, rgb, u8
 from .spatial_plans import near
 
@@ -70,16 +70,17 @@ def register(c: Catalogue) -> None:
     points = sorted({(r, round(r * math.sin(a)), round(r * math.cos(a))) for r in range(3, 6) for a in [2 * math.pi * i / max(8, 8 * r) for i in range(max(8, 8 * r))]})
     t("hough_circle", lambda k, d: reducers.hough_circle(ramp(k), 1, 3, 5, 240), f"SELECT r AS radius, y + a AS y, x + b AS x, count(*) AS votes FROM {RAMP}, (VALUES {', '.join(map(str, points))}) p(r, a, b) WHERE v > 240 AND y + a BETWEEN 0 AND 47 AND x + b BETWEEN 0 AND 63 GROUP BY 1, 2, 3")
 
-    # Frequency: a 16 x 12 corner, whose transform SQL can add up directly.
-    corner = f"(SELECT y, x, CAST(v AS DOUBLE) AS v FROM {RAMP} WHERE x < 16 AND y < 12)"
-    cut = lambda k: geometry.extract_area(ramp(k), 0, 0, 16, 12).map(lambda v: v.cast("double"), s.F64)
-    ang = "(2 * pi() * (CAST(g.x * p.x AS DOUBLE) / 16 + CAST(g.y * p.y AS DOUBLE) / 12))"
-    dft = f"(SELECT g.y, g.x, sum(p.v * cos({ang})) / 192 AS re, -sum(p.v * sin({ang})) / 192 AS im FROM {corner} g, {corner} p GROUP BY g.y, g.x)"
+    # Frequency: the whole image, transformed by rows and then by columns.
+    h = "(SELECT count(*) FROM embeddings)"
+    lines = f"(SELECT p.y, CAST(k AS INT) AS x, sum(p.v * cos(2 * pi() * ((k * p.x) % 64) / 64)) AS re, -sum(p.v * sin(2 * pi() * ((k * p.x) % 64) / 64)) AS im FROM {EMB} p, range(0, 64) t(k) GROUP BY ALL)"
+    turned = f"(SELECT q.l AS y, r.x, r.re, r.im, 2 * pi() * ((q.l * r.y) % {h}) / {h} AS a FROM {lines} r, (SELECT vec_id AS l FROM embeddings) q)"
+    dft = f"(SELECT y, x, sum(re * cos(a) + im * sin(a)) / (64 * {h}) AS re, sum(im * cos(a) - re * sin(a)) / (64 * {h}) AS im FROM {turned} GROUP BY y, x)"
     both = "SELECT y, x, 0 AS band, re AS v FROM {t} UNION ALL SELECT y, x, 1, im FROM {t}"
-    c.image("fwfft", lambda k, d: frequency.fwfft(cut(k)), both.format(t=dft), True, True)
-    c.image("fwfft_shifted", lambda k, d: frequency.fwfft(cut(k), True), both.format(t=f"(SELECT (y + 6) % 12 AS y, (x + 8) % 16 AS x, re, im FROM {dft})"), True, True)
-    c.image("invfft", lambda k, d: frequency.invfft(frequency.fwfft(cut(k))), f"SELECT * FROM {corner}", True)
-    c.image("spectrum", lambda k, d: frequency.spectrum(frequency.fwfft(cut(k))), f"SELECT (y + 6) % 12 AS y, (x + 8) % 16 AS x, sqrt(re * re + im * im) AS v FROM {dft}", True)
+    centred = f"(y + {h} // 2) % {h} AS y, (x + 32) % 64 AS x"
+    c.image("fwfft", lambda k, d: frequency.fwfft(emb(k, d)), both.format(t=dft), True, True)
+    c.image("fwfft_shifted", lambda k, d: frequency.fwfft(emb(k, d), True), both.format(t=f"(SELECT {centred}, re, im FROM {dft})"), True, True)
+    c.image("invfft", lambda k, d: frequency.invfft(frequency.fwfft(emb(k, d))), f"SELECT * FROM {EMB}", True)
+    c.image("spectrum", lambda k, d: frequency.spectrum(frequency.fwfft(emb(k, d))), f"SELECT {centred}, sqrt(re * re + im * im) AS v FROM {dft}", True)
     pair = f"(SELECT a.y, a.x, a.v - 128.0e0 AS a, b.v - 128.0e0 AS b FROM {RAMP} a JOIN {OTHER} b USING (y, x))"
     mid = lambda r: r.map(lambda v: v.cast("double") - 128.0, s.F64)
     za = lambda k: bands.complex_form(mid(ramp(k)), mid(other(k)))
@@ -89,4 +90,4 @@ def register(c: Catalogue) -> None:
     c.image("phasecor", lambda k, d: frequency.phasecor(za(k), zb(k)), f"SELECT y, x, 0 AS band, CASE WHEN {m} = 0 THEN 0 ELSE (a * b + b * a) / {m} END AS v FROM {pair} UNION ALL SELECT y, x, 1, CASE WHEN {m} = 0 THEN 0 ELSE (b * b - a * a) / {m} END FROM {pair}", True, True)
     from ..operators import generators
 
-    c.image("frequency_filter", lambda k, d: frequency.filtered(cut(k), generators.frequency_mask(k, 16, 12, "gaussian")), None, True)
+    c.image("frequency_filter", lambda k, d: frequency.filtered(r := emb(k, d), generators.frequency_mask(k, r.width, r.height, "gaussian")), None, True)

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from tessella.functions import colour, samples
-from tessella.operators import bands, frequency, geometry, mosaic, neighbourhood, reducers, resample
-from tessella.plans.images import other, ramp
+from tessella.operators import bands, frequency, generators, geometry, mosaic, neighbourhood, reducers, resample
+from tessella.plans import catalogue
+from tessella.plans.images import emb, other, ramp
 from tessella.raster import from_values
 from tessella.sources import codecs
 
@@ -278,3 +279,13 @@ def test_labels_of_several_blocks(spark, monkeypatch):
                     want[p, q] = seen
                     todo += [(p + 1, q), (p - 1, q), (p, q + 1), (p, q - 1)]
     assert seen > 7 and (np.asarray(got) == want).all()
+
+
+def test_frequency_filter_matches_numpy(spark, sf):
+    z = grid(emb(spark, sf))
+    h, w = z.shape
+    mask = grid(generators.frequency_mask(spark, w, h, "gaussian"))
+    got = np.zeros(z.shape)
+    for r in catalogue.queries()["frequency_filter"](spark, sf).collect():
+        got[r.y, r.x] = r.v
+    assert np.allclose(got, np.fft.ifft2(np.fft.fft2(z) * mask).real, atol=1e-6)

@@ -5,7 +5,9 @@ import base64
 import collections
 import hashlib
 import math
+import pathlib
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -572,3 +574,22 @@ def test_licenses_against_brute_force(spark):
     kinds = collections.Counter(x[3] for x in want)
     assert kinds["header"] > 20 and kinds["file"] and kinds["inherited"] and kinds["none"]
     assert [x[2] for x in got if x[0] == 502] == ["Apache-2.0"] * 2 and {x[2] for x in got if x[0] == 500} == {"MIT", "ISC"}
+
+
+def test_license_texts(spark):
+    """Whole licence texts, wrapped anew, under a copyright line and with some words lost, are
+    licence files; files beside and below them inherit the licence itself, not one of its kin."""
+    folder, rng, rows = pathlib.Path(license_scan.__file__).parent / "licenses", np.random.default_rng(22), []
+    names = sorted(f.stem for f in folder.glob("*.txt"))
+    assert names == sorted(license_scan.TEMPLATES) and {"GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "MPL-2.0", "CC-BY-NC-4.0"} <= set(names)
+    for i, name in enumerate(names):
+        said = [w for w in (folder / f"{name}.txt").read_text(encoding="utf-8").split() if rng.random() > 0.03]
+        text = f"Copyright 2020 Someone\n\n{textwrap.fill(' '.join(said), 60)}\n"
+        rows += [(3 * i, f"{name}/LICENSE", text), (3 * i + 1, f"{name}/x.py", "x = 1"), (3 * i + 2, f"{name}/a/b/y.py", None)]
+    rows += [(1000 + i, f"none/{i}", " ".join(words(200, i)) + " in the license of that version") for i in range(150)]
+    got = {r.id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(names):
+        assert [(got[k].license, got[k].found) for k in (3 * i + 1, 3 * i + 2)] == [(name, "inherited")] * 2
+        assert got[3 * i + 1].score > 0.9 and got[3 * i].found in ("header", "file")
+    assert {got[3 * names.index(x)].license for x in ("LGPL-3.0", "MIT", "CC0-1.0")} == {"LGPL-3.0", "MIT", "CC0-1.0"}
+    assert {r.found for k, r in got.items() if k >= 1000} == {"none"}

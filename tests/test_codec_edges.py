@@ -38,6 +38,6 @@ def odd():
 
 
 @pytest.mark.parametrize("vectors", [edges, odd])
-@pytest.mark.parametrize("name", ["codec_png_u1_1"])
+@pytest.mark.parametrize("name", ["codec_png_u1_1", "codec_pnm_u1_1"])
 def test_bytes_of_a_codec(spark, tmp_path, name, vectors):
     same(spark, tmp_path, name, vectors())
